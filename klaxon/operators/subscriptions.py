@@ -106,33 +106,37 @@ def apply_subscription_changes(subscriptions: DataFrame, changes: DataFrame, as_
     An UPDATE overwrites region and minimum severity unless blank, and active unless null.
     All changes of an id fold into one row before they meet the table.
     """
-    known = subscriptions.select(*SUBSCRIPTION.names, F.lit(None).cast("long").alias("seq")).unionByName(
-        created_rows(changes, as_of)
+    known = subscriptions.select(*SUBSCRIPTION.names, F.lit(None).cast("long").alias("_born")).unionByName(
+        created_rows(changes, as_of).withColumnRenamed("seq", "_born")
     )
-    born = created_rows(changes, as_of).select("id", F.col("seq").alias("_born"))
-    # One row per id: which changes still count is decided against `_born`, so it is
-    # attached to the log first; only ids created inside the log have one.
-    log = changes.filter(F.col("op").isin("UPDATE", "DELETE") & F.col("id").isNotNull()).join(born, "id", "left")
-    live = F.col("_born").isNull() | (F.col("seq") > F.col("_born"))
-    update = live & (F.col("op") == "UPDATE")
-    latest = lambda name, given: F.max_by(name, F.when(update & given, F.col("seq"))).alias(f"_{name}")
-    folded = log.groupBy("id").agg(
-        latest("region_id", ~C.is_blank("region_id")),
-        latest("min_severity", ~C.is_blank("min_severity")),
-        latest("active", F.col("active").isNotNull()),
-        F.min(F.when(live & (F.col("op") == "DELETE"), F.col("seq"))).alias("_deleted"),
+    # The last value and its seq are enough: if the last one came before the CREATE, all did.
+    log = changes.filter(F.col("op").isin("UPDATE", "DELETE") & F.col("id").isNotNull())
+    update = F.col("op") == "UPDATE"
+    folds = [F.max(F.when(F.col("op") == "DELETE", F.col("seq"))).alias("_deleted_seq")]
+    for name, given in (
+        ("region_id", ~C.is_blank("region_id")),
+        ("min_severity", ~C.is_blank("min_severity")),
+        ("active", F.col("active").isNotNull()),
+    ):
+        seq = F.when(update & given, F.col("seq"))
+        folds += [F.max_by(name, seq).alias(f"_{name}"), F.max(seq).alias(f"_{name}_seq")]
+    folded = log.groupBy("id").agg(*folds)
+
+    counts = lambda seq: F.col(seq).isNotNull() & (
+        F.col("_born").isNull() | (F.col(seq) > F.col("_born"))
     )
+    changed = lambda name: F.when(counts(f"_{name}_seq"), F.col(f"_{name}")).otherwise(F.col(name)).alias(name)
     merged = (
         known.join(folded, "id", "left")
-        .filter(F.col("_deleted").isNull())
+        .filter(~counts("_deleted_seq"))
         .select(
             "id",
             "user_id",
             "channel",
             "recipient_address",
-            F.coalesce("_region_id", "region_id").alias("region_id"),
-            F.coalesce("_min_severity", "min_severity").alias("min_severity"),
-            F.coalesce("_active", "active").alias("active"),
+            changed("region_id"),
+            changed("min_severity"),
+            changed("active"),
             "created_at",
         )
     )

@@ -64,14 +64,12 @@ def snapshot_to_events(
     """Feed alerts to alert events; alerts without a title are dropped."""
     titled = feed_alerts.filter(~C.is_blank("location_title"))
     kind = C.event_type("alert_type")
-    content = F.to_json(F.struct(*[c for c in FEED_ALERT.names if c in feed_alerts.columns]))
+    content = C.content_id(*[c for c in FEED_ALERT.names if c in feed_alerts.columns])
     return (
         normalize_regions(titled, mappings, "location_title")
         .withColumn("event_type", kind)
         .select(
-            F.coalesce(
-                F.concat(F.lit(id_prefix), F.col("id").cast("string")), F.sha2(content, 256)
-            ).alias("event_id"),
+            F.coalesce(F.concat(F.lit(id_prefix), F.col("id").cast("string")), content).alias("event_id"),
             "region_id",
             "event_type",
             F.lit("ACTIVE").alias("status"),
@@ -83,9 +81,9 @@ def snapshot_to_events(
 
 def with_ingest_defaults(pushed: DataFrame, as_of: Column) -> DataFrame:
     """Fill what a pushed alert may leave out; the id becomes a hash of its content."""
-    content = F.to_json(F.struct("region_id", "event_type", "status", "severity", "event_timestamp"))
+    content = C.content_id("region_id", "event_type", "status", "severity", F.unix_micros("event_timestamp"))
     return pushed.select(
-        F.coalesce("event_id", F.sha2(content, 256)).alias("event_id"),
+        F.coalesce("event_id", content).alias("event_id"),
         "region_id",
         "event_type",
         F.coalesce("status", F.lit("ACTIVE")).alias("status"),
