@@ -108,7 +108,8 @@ def _shown(c: Column | str) -> Column:
 
 
 def alert_message(region: Column | str, kind: Column | str, severity: Column | str) -> Column:
-    return F.format_string("Alert in %s: %s [%s]", _shown(region), _shown(kind), _shown(severity))
+    # concat, not format_string: it is compiled, and this runs once per alert.
+    return F.concat(F.lit("Alert in "), _shown(region), F.lit(": "), _shown(kind), F.lit(" ["), _shown(severity), F.lit("]"))
 
 
 def spike_description(region: Column | str, count: Column | str, window_seconds: int, threshold: int) -> Column:
@@ -122,11 +123,14 @@ def spike_description(region: Column | str, count: Column | str, window_seconds:
 
 
 def anomaly_message(region: Column | str, description: Column | str, detected_at: Column | str) -> Column:
-    return F.format_string(
-        "CRITICAL SPIKE ALERT in %s: %s (Detected: %s)",
+    return F.concat(
+        F.lit("CRITICAL SPIKE ALERT in "),
         _shown(region),
+        F.lit(": "),
         _shown(description),
+        F.lit(" (Detected: "),
         F.coalesce(instant_text(detected_at), F.lit("null")),
+        F.lit(")"),
     )
 
 
