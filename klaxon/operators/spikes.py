@@ -36,9 +36,13 @@ def _members(alerts: DataFrame, at: str) -> DataFrame:
     )
 
 
-def _live(members: DataFrame, window_ms: int) -> DataFrame:
-    """(region_id, ms, ties, before): members at that ms, and members earlier in its window."""
-    ties = members.groupBy("region_id", "ms").agg(F.count("*").alias("ties"))
+def _ties(members: DataFrame) -> DataFrame:
+    """(region_id, ms, ties): members at that ms."""
+    return members.groupBy("region_id", "ms").agg(F.count("*").alias("ties"))
+
+
+def _live(ties: DataFrame, window_ms: int) -> DataFrame:
+    """Add `before`: members earlier in the window that ends at that ms."""
     totals = sliding_totals(ties, ["region_id"], "ms", "ties", window_ms)
     return totals.select("region_id", "ms", "ties", (F.col("total") - F.col("ties")).alias("before"))
 
@@ -52,8 +56,9 @@ def sliding_counts(
 ) -> DataFrame:
     """(region_id, event_id, ms, n): the count each member sees when it arrives."""
     members = _members(alerts, at)
-    live = _live(members, window_ms)
-    cuts = _tie_cuts(members, live, tie_rows, tie_shares)
+    ties = _ties(members)
+    live = _live(ties, window_ms)
+    cuts = _tie_cuts(members, ties, tie_rows, tie_shares)
 
     # Members of an oversized tie get the part of it they sort into; all others part 0.
     # The cuts are at most TIE_SHARES rows, so they may be broadcast.
@@ -88,13 +93,13 @@ def sliding_counts(
     )
 
 
-def _tie_cuts(members: DataFrame, live: DataFrame, tie_rows: int, tie_shares: int) -> DataFrame:
+def _tie_cuts(members: DataFrame, ties: DataFrame, tie_rows: int, tie_shares: int) -> DataFrame:
     """Up to TIE_PARTS ids that cut each oversized tie into even, ordered parts.
 
     The ids come from a bounded sample chosen by hash, so a retried task picks the same.
     """
-    total = live.select(F.sum("ties").alias("total")).scalar()
-    oversized = live.filter(F.col("ties") > F.lit(tie_rows)).filter(
+    total = ties.select(F.sum("ties").alias("total")).scalar()
+    oversized = ties.filter(F.col("ties") > F.lit(tie_rows)).filter(
         F.col("ties") * F.lit(tie_shares) > total
     ).select("region_id", "ms")
     by_hash = Window.partitionBy("region_id", "ms").orderBy(F.xxhash64("event_id"))
@@ -130,13 +135,12 @@ def detect_spikes(
     threshold = _threshold(threshold)
     if not enabled:
         alerts = alerts.filter(F.lit(False))
-    live = _live(_members(alerts, at), window_ms)
+    live = _live(_ties(_members(alerts, at)), window_ms)
     candidates = live.filter(F.col("before") + F.col("ties") >= threshold).select(
         "region_id", "ms", F.greatest(F.lit(1), F.lit(threshold) - F.col("before")).alias("fires"), "before"
     )
     hold = max(cooldown_ms, 0) + 1
-    passes = passing_instants(candidates.select("region_id", "ms"), ["region_id"], "ms", hold)
-    firing = candidates.join(passes, ["region_id", "ms"])
+    firing = passing_instants(candidates, ["region_id"], "ms", hold, payload=["fires", "before"])
 
     # `fires` never exceeds the threshold, so each map task keeps that many ids per instant.
     order = Window.partitionBy("region_id", "ms").orderBy("event_id")
