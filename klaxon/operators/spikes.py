@@ -135,26 +135,26 @@ def detect_spikes(
     threshold = _threshold(threshold)
     if not enabled:
         alerts = alerts.filter(F.lit(False))
-    live = _live(_ties(_members(alerts, at)), window_ms)
+    members = _members(alerts, at)
+    live = _live(_ties(members), window_ms)
     candidates = live.filter(F.col("before") + F.col("ties") >= threshold).select(
         "region_id", "ms", F.greatest(F.lit(1), F.lit(threshold) - F.col("before")).alias("fires"), "before"
     )
     hold = max(cooldown_ms, 0) + 1
     firing = passing_instants(candidates, ["region_id"], "ms", hold, payload=["fires", "before"])
 
-    # `fires` never exceeds the threshold, so each map task keeps that many ids per instant.
+    # `fires` never exceeds the threshold, so that many ids per instant are enough; tasks
+    # keep no more of an instant before the shuffle that brings its ids together.
     order = Window.partitionBy("region_id", "ms").orderBy("event_id")
-    fired = (
-        alerts.select("region_id", "event_id", F.unix_millis(at).alias("ms"), F.col(at).alias("detected_at"))
-        .join(firing, ["region_id", "ms"])
-        .groupBy("region_id", "ms", "event_id", "fires", "before")
-        .agg(F.min("detected_at").alias("detected_at"))
-        .withColumn("_nth", F.row_number().over(order))
-        .filter(F.col("_nth") <= threshold)
-        .filter(F.col("_nth") == F.col("fires"))
-    )
+    smallest = members.withColumn("_nth", F.row_number().over(order)).filter(F.col("_nth") <= threshold)
+    fired = smallest.join(firing, ["region_id", "ms"]).filter(F.col("_nth") == F.col("fires"))
     return to_anomalies(
-        fired.select("region_id", "event_id", (F.col("before") + F.col("fires")).alias("n"), "detected_at"),
+        fired.select(
+            "region_id",
+            "event_id",
+            (F.col("before") + F.col("fires")).alias("n"),
+            F.timestamp_millis("ms").alias("detected_at"),
+        ),
         window_ms,
         threshold,
     )

@@ -200,7 +200,7 @@ def _spikes(window: int, threshold: int, cooldown: int) -> dict[str, str]:
         "ready": f"SELECT * FROM counted WHERE n >= {threshold}",
         **_chain("ready", "region_id", cooldown, ">"),
         "fired": """
-            SELECT r.region_id, r.event_id, r.ms, r.n, r.seen_at
+            SELECT r.region_id, r.event_id, r.ms, r.n, make_timestamp(r.ms * 1000) AS seen_at
             FROM ready r JOIN chain c ON r.region_id = c.region_id AND r.ms = c.ms
             QUALIFY row_number() OVER (PARTITION BY r.region_id, r.ms ORDER BY r.event_id) = 1""",
     }
