@@ -27,14 +27,11 @@ HEADLINE = [
     "detect_spikes",
     "match_anomalies",
     "match_alerts",
-    "route_tasks",
-    "render_ntfy",
     "resolve_attempts",
     "subs_changes",
     "add_mappings",
     "archive_alerts",
     "alert_history_between",
-    "dedup_tasks",
 ]
 
 
