@@ -27,7 +27,7 @@ REGION_ID_PATTERN = "^[A-Z0-9_]+$"
 MASK_LENGTH = 35
 # ----------------------------------------------------------------------------------
 
-_INSTANT = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?(Z|[+-]\d{2}:\d{2}(:\d{2})?)$"
+_INSTANT = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,9})?(Z|[+-]\d{2}:\d{2}(:\d{2})?)$"
 
 
 def _col(c: Column | str) -> Column:
@@ -88,8 +88,8 @@ def severity_sufficient(severity: Column | str, minimum: Column | str) -> Column
 
 
 def parse_instant(c: Column | str, as_of: Column) -> Column:
-    """A full ISO-8601 instant, else `as_of`.  A bare date is not an instant."""
-    c = _col(c)
+    """A full ISO-8601 instant, else `as_of`.  A date or a time without seconds is none."""
+    c = F.upper(_col(c))
     parsed = F.when(c.rlike(_INSTANT), F.try_to_timestamp(c))
     return F.coalesce(parsed, as_of)
 

@@ -73,17 +73,27 @@ def intake(
 
 
 def debounced_log(
-    events: DataFrame, log_path: str, checkpoint: str, ttl_ms: int = DEBOUNCE_TTL_MS, once: bool = True
+    events: DataFrame,
+    log_path: str,
+    late_path: str,
+    checkpoint: str,
+    ttl_ms: int = DEBOUNCE_TTL_MS,
+    delay_ms: int = stateful.DELAY_MS,
+    once: bool = True,
 ) -> StreamingQuery:
-    """Polled events through the debounce into the alert log, exactly once."""
-    kept = logs.as_log_records(logs.encode_alerts(stateful.debounce_stream(events, ttl_ms)), logs.RAW_ALERTS)
-    writer = (
-        kept.writeStream.queryName("debounced_log")
-        .format("parquet")
-        .option("path", log_path)
-        .option("checkpointLocation", checkpoint)
-    )
-    return (writer.trigger(availableNow=True) if once else writer).start()
+    """Polled events through the debounce into the alert log; late ones aside."""
+
+    def work(rows: DataFrame, batch_id: int) -> None:
+        on_time, late = _split_late(rows)
+        overwrite_batch(logs.as_log_records(logs.encode_alerts(on_time), logs.RAW_ALERTS), log_path, batch_id)
+        overwrite_batch(late, late_path, batch_id)
+
+    judged = stateful.debounce_stream(events, ttl_ms, delay_ms, keep_late=True)
+    return _start(judged, work, checkpoint, "debounced_log", once)
+
+
+def _split_late(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return rows.filter(~F.col("late")).drop("late"), rows.filter("late").drop("late")
 
 
 def archive_and_match(
@@ -164,6 +174,7 @@ def dispatch_anomalies(
 def deliver(
     tasks: DataFrame,
     outbox_path: str,
+    late_path: str,
     checkpoint: str,
     server: str,
     default_topic: str,
@@ -172,15 +183,15 @@ def deliver(
     dry_run: bool = True,
     once: bool = True,
 ) -> StreamingQuery:
-    """Queued tasks, once per task id and TTL, rendered into the outbox."""
-    rendered = delivery.outbox(
-        stateful.dedup_stream(tasks), server, default_topic, default_url, username, dry_run
-    )
+    """Queued tasks, once per task id and TTL, rendered into the outbox; late ones aside."""
 
     def work(rows: DataFrame, batch_id: int) -> None:
-        overwrite_batch(rows, outbox_path, batch_id, "channel")
+        on_time, late = _split_late(rows)
+        rendered = delivery.outbox(on_time, server, default_topic, default_url, username, dry_run)
+        overwrite_batch(rendered, outbox_path, batch_id, "channel")
+        overwrite_batch(late, late_path, batch_id)
 
-    return _start(rendered, work, checkpoint, "deliver", once)
+    return _start(stateful.dedup_stream(tasks, keep_late=True), work, checkpoint, "deliver", once)
 
 
 def read_batches(spark: SparkSession, path: str, schema, streaming: bool = False) -> DataFrame:

@@ -55,7 +55,11 @@ def _sorted(batch: pa.RecordBatch, names: list[str]) -> pa.RecordBatch:
 
 
 class GateProcessor(StatefulProcessor):
-    """First row of a key passes; the key is free again `hold_ms` after it."""
+    """First row of a key passes; the key is free again `hold_ms` after it.
+
+    Emits the rows that pass, and rows older than the watermark with `late` set: the lock
+    they would have met may be gone, so they are neither passed nor lost.
+    """
 
     def __init__(self, at: str, ties: list[str], hold_ms: int):
         self.at, self.ties, self.hold = at, ties, hold_ms
@@ -65,16 +69,18 @@ class GateProcessor(StatefulProcessor):
         self.lock = handle.getValueState("lock", StructType([StructField("free_at", LongType())]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        watermark = timerValues.getCurrentWatermarkInMs()
         free_at = self.lock.get()[0] if self.lock.exists() else None
-        passed = []
+        before, out = free_at, []
         for row in sorted(rows, key=lambda r: (r[self.at], *(r[t] for t in self.ties))):
-            if free_at is None or row[self.at] >= free_at:
-                free_at = row[self.at] + self.hold
-                passed.append(row)
-        if passed:
+            late = row[self.at] < watermark
+            if late or free_at is None or row[self.at] >= free_at:
+                out.append(Row(**row.asDict(), late=late))
+                free_at = free_at if late else row[self.at] + self.hold
+        if free_at != before:
             self.lock.update((free_at,))
             self.handle.registerTimer(free_at)
-        return iter(passed)
+        return iter(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         if self.lock.exists() and self.lock.get()[0] <= timerValues.getCurrentWatermarkInMs():

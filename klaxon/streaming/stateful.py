@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
 from klaxon.operators import spikes
 from klaxon.operators.debounce import DEBOUNCE_TTL_MS, KEYS
@@ -34,32 +34,45 @@ def gate_stream(
     inclusive: bool = True,
     delay_ms: int = DELAY_MS,
 ) -> DataFrame:
-    """Streaming ``ttl_gate``.  Rows more than `delay_ms` late are dropped and counted by Spark."""
+    """Streaming ``ttl_gate``: its rows, and late ones, told apart by the column `late`.
+
+    A row is late if it is older than the watermark, `delay_ms` behind the newest row.
+    Of the late rows of a key at one ms, one stands for all.
+    """
     keys, ties = list(keys), list(ties)
     present = F.col(time).isNotNull()
     for key in keys:
         present = present & F.col(key).isNotNull()
     rows = rows.filter(present)
     if ttl_ms <= 0:
-        return rows
+        return rows.withColumn("late", F.lit(False))
     timed = rows.withColumn("_at", F.unix_millis(time))
-    thin = timed.mapInArrow(lambda b: first_per_instant(b, keys, "_at", ties), timed.schema)
-    passed = (
-        thin.withWatermark(time, _delay(delay_ms))
-        .groupBy(*keys)
-        .transformWithState(
-            GateProcessor("_at", ties, ttl_ms if inclusive else ttl_ms + 1), timed.schema, "Append", "EventTime"
-        )
+    # The watermark is set before the fold, so late rows still reach the state and are named.
+    thin = timed.withWatermark(time, _delay(delay_ms)).mapInArrow(
+        lambda b: first_per_instant(b, keys, "_at", ties), timed.schema
     )
-    return passed.drop("_at")
+    shape = StructType([*timed.schema.fields, StructField("late", BooleanType())])
+    hold = ttl_ms if inclusive else ttl_ms + 1
+    judged = thin.groupBy(*keys).transformWithState(GateProcessor("_at", ties, hold), shape, "Append", "EventTime")
+    return judged.drop("_at")
+
+
+def debounce_stream(
+    alerts: DataFrame, ttl_ms: int = DEBOUNCE_TTL_MS, delay_ms: int = DELAY_MS, keep_late: bool = False
+) -> DataFrame:
+    judged = gate_stream(alerts, KEYS, "event_timestamp", ttl_ms, ["event_id"], delay_ms=delay_ms)
+    return judged if keep_late else _on_time(judged)
 
 
-def debounce_stream(alerts: DataFrame, ttl_ms: int = DEBOUNCE_TTL_MS, delay_ms: int = DELAY_MS) -> DataFrame:
-    return gate_stream(alerts, KEYS, "event_timestamp", ttl_ms, ["event_id"], delay_ms=delay_ms)
+def dedup_stream(
+    tasks: DataFrame, ttl_ms: int = IDEMPOTENCY_TTL_MS, delay_ms: int = DELAY_MS, keep_late: bool = False
+) -> DataFrame:
+    judged = gate_stream(tasks, ["task_id"], "created_at", ttl_ms, delay_ms=delay_ms)
+    return judged if keep_late else _on_time(judged)
 
 
-def dedup_stream(tasks: DataFrame, ttl_ms: int = IDEMPOTENCY_TTL_MS, delay_ms: int = DELAY_MS) -> DataFrame:
-    return gate_stream(tasks, ["task_id"], "created_at", ttl_ms, delay_ms=delay_ms)
+def _on_time(judged: DataFrame) -> DataFrame:
+    return judged.filter(~F.col("late")).drop("late")
 
 
 def spikes_stream(

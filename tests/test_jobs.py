@@ -43,7 +43,7 @@ def test_poll_to_log(spark, tmp_path):
     assert keys(found, "raw_title", "occurrences_count") == [("Nowhere", 1)]
 
     stream = jobs.read_batches(spark, at("events"), ALERT_EVENT, streaming=True)
-    done(jobs.debounced_log(stream, at("log"), at("cp2"), HOUR))
+    done(jobs.debounced_log(stream, at("log"), at("late"), at("cp2"), HOUR))
     kept = logs.decode_alerts(logs.read_log_files(spark, at("log")))
     assert keys(kept, "event_id") == keys(debounce(events, HOUR), "event_id")
 
@@ -81,7 +81,7 @@ def test_log_to_outbox(spark, tmp_path):
     assert tuple(t.count() for t in again) == before
 
     queue = jobs.read_batches(spark, at("queue"), NOTIFICATION_TASK, streaming=True)
-    done(jobs.deliver(queue, at("outbox"), at("cp2"), "https://push.example.org", "all", None, "desk"))
+    done(jobs.deliver(queue, at("outbox"), at("late"), at("cp2"), "https://push.example.org", "all", None, "desk"))
     sent = spark.read.parquet(at("outbox"))
     assert sent.count() == before[1] and sent.filter("status <> 'DRY_RUN'").count() == 0
 

@@ -76,6 +76,12 @@ def test_scalars(spark):
     ]
     assert values(spark, C.masked, [None, "a" * 35, "b" * 36]) == ["***", "***", "b" * 35 + "..."]
     assert values(spark, C.alert_title, ["KYIV_REGION", None]) == ["Alert: KYIV_REGION", "Alert: National"]
+    late = ["2026-10-01T20:00Z", "2026-10-01t20:00:01z", "2026-10-01 20:00:00Z"]
+    assert values(spark, lambda x: C.instant_text(C.parse_instant(x, as_of())), late) == [
+        "2026-10-02T00:00:00.000Z",
+        "2026-10-01T20:00:01.000Z",
+        "2026-10-02T00:00:00.000Z",
+    ]
     parse = lambda x: C.instant_text(C.parse_instant(x, as_of()))
     assert values(spark, parse, ["2026-10-01T20:00:00Z", "2026-10-01", None, "soon", "2026-10-01T20:00:00.1239+02:00"]) == [
         "2026-10-01T20:00:00.000Z",
@@ -393,3 +399,21 @@ def test_history(spark, tmp_path):
     assert one(found, "event_id") == [("e2",), ("e3",)]
     plan = found._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(event_date" in plan and "PushedFilters: [IsNotNull(region_id)" in plan
+
+
+def test_matching_without_broadcast(spark):
+    alert = spark.range(400).selectExpr(
+        "concat('e', id) event_id", "if(id < 300, 'HOT', concat('R', id % 7)) region_id", "'X' event_type", "'INFO' severity"
+    )
+    table = spark.range(60).selectExpr(
+        "id", "concat('u', id) user_id", "'NTFY' channel", "'a' recipient_address",
+        "if(id < 40, 'HOT', concat('R', id % 7)) region_id", "cast(null as string) min_severity", "true active",
+    )
+    small = matching.match_alerts(alert, table, as_of())
+    want = one(small, "event_id", "subscription_id")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert one(matching.match_alerts(alert, table, as_of()), "event_id", "subscription_id") == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(want) == len(set(want)) > 300 * 40

@@ -86,7 +86,7 @@ def test_dedup_stream_equals_batch(spark, alerts, tmp_path):
     assert pick(got) == pick(dedup_tasks(tasks))
 
 
-def test_restart_keeps_locks_and_drops_late_rows(spark, tmp_path):
+def test_restart_keeps_locks_and_names_late_rows(spark, tmp_path):
     make = lambda rows: spark.createDataFrame(
         rows, "event_id string, region_id string, event_type string, t string"
     ).selectExpr("event_id", "region_id", "event_type", "cast(t as timestamp) event_timestamp")
@@ -97,7 +97,39 @@ def test_restart_keeps_locks_and_drops_late_rows(spark, tmp_path):
     for i, part in enumerate((first, second, third)):
         part.coalesce(1).write.mode("append").parquet(source)
         query, out = run(
-            spark, stateful.debounce_stream, first.schema, source, str(tmp_path / "out"), str(tmp_path / "cp")
+            spark,
+            lambda s: stateful.debounce_stream(s, keep_late=True),
+            first.schema,
+            source,
+            str(tmp_path / "out"),
+            str(tmp_path / "cp"),
+        )
+    assert sorted((r.event_id, r.late) for r in out.collect()) == [
+        ("a", False),
+        ("b", False),
+        ("d", False),
+        ("e", True),
+        ("f", False),
+    ]
+
+
+def test_spikes_stream_counts_late_rows(spark, tmp_path):
+    make = lambda rows: spark.createDataFrame(rows, "event_id string, region_id string, t string").selectExpr(
+        "event_id", "region_id", "cast(t as timestamp) event_timestamp"
+    )
+    source, dropped = str(tmp_path / "in"), 0
+    parts = [
+        make([("a", "R", "2026-01-01 10:00:00"), ("a", "R", "2026-01-01 10:00:00"), ("b", "R", "2026-01-01 10:01:00")]),
+        make([("c", "R", "2026-01-01 10:02:00"), ("d", "R", "2026-01-01 10:03:00")]),
+        make([("e", "R", "2026-01-01 09:00:00"), ("f", "R", "2026-01-01 10:13:30"), ("g", "R", "2026-01-01 10:13:40")]),
+        make([("h", "R", "2026-01-01 10:13:50")]),
+    ]
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(source)
+        query, out = run(
+            spark, stateful.spikes_stream, parts[0].schema, source, str(tmp_path / "out"), str(tmp_path / "cp")
         )
-    assert sorted(r.event_id for r in out.collect()) == ["a", "b", "d", "f"]
-    assert sum(stateful.rows_dropped_late(p) for p in query.recentProgress) == 1
+        dropped += sum(stateful.rows_dropped_late(p) for p in query.recentProgress)
+    fired = sorted((r.triggering_event_ids[0], r.event_count) for r in out.collect())
+    assert fired == [("c", 3), ("h", 3)]
+    assert dropped == 1
