@@ -1,8 +1,10 @@
-"""Every registered query against its SQL on the smallest tables."""
+"""Every registered query of the core library against its SQL on the smallest tables."""
 
 import pytest
 
 import __spark_entry__ as driver
+from klaxon.plans.oracles import ORACLES
+from klaxon.plans.queries import QUERIES
 from tests.compare import connect, difference
 
 FOLDER = "/root/testdata/sf0.001"
@@ -14,7 +16,9 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(driver.queries()) == set(driver.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(driver.queries())
+    assert set(driver.oracle_sql()) <= set(driver.queries())
 
 
 def test_entry(spark):
@@ -22,6 +26,6 @@ def test_entry(spark):
     assert result.columns and result.count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    assert difference(spark, con, FOLDER, driver.queries()[name], driver.oracle_sql()[name]) is None
+    assert difference(spark, con, FOLDER, QUERIES[name], ORACLES[name]) is None
