@@ -48,8 +48,7 @@ def cuts(keyed: DataFrame, buckets: int) -> list[str]:
     wanted = buckets * SAMPLES_PER_BUCKET
     sample = keyed if rows <= wanted else keyed.sample(wanted / rows, seed=5)
     found = sorted(r[0] for r in sample.select(F.concat("_body", "_order")).collect())
-    step = max(1, len(found) // buckets)
-    return sorted(set(found[step::step]))[: buckets - 1]
+    return sorted({found[i * len(found) // buckets] for i in range(1, buckets)}) if found else []
 
 
 def bucket_of(key: Column, splitters: list[str]) -> Column:

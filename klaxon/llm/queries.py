@@ -2,17 +2,29 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from klaxon.llm.bpe import encode_documents
 from klaxon.llm.common import table
 from klaxon.llm.exact_dedup import mark_duplicates
 
 
+BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op4_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    digests = ("n_tokens", "ids_sha256", "decoded_sha256")
+    return encode_documents(documents, BYTE_VOCABULARY, outputs=digests).drop("text")
+
+
 def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return mark_duplicates(table(spark, folder, "documents"), keep="max")
 
 
 QUERIES = {
+    "op4_bpe_round_trip": op4_bpe_round_trip,
     "op5_exact_dedup": op5_exact_dedup,
 }
 
