@@ -57,9 +57,10 @@ def byte_letters() -> dict[str, int]:
 class Memo(dict):
     """A dict that fills itself through `make`; when full, only what is asked for again stays."""
 
-    def __init__(self, make):
+    def __init__(self, make, entries: int = MEMO_ENTRIES):
         super().__init__()
         self.make = make
+        self.entries = entries
         self.older: dict = {}
 
     def __missing__(self, key):
@@ -67,12 +68,15 @@ class Memo(dict):
         if value is None:
             value = self.make(key)
         if len(key) <= MEMO_CHARS:
-            if len(self) >= MEMO_ENTRIES:
-                self.older = dict(self)
-                self.clear()
-            self[key] = value
+            self.put(key, value)
         return value
 
+    def put(self, key, value) -> None:
+        if len(self) >= self.entries:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+
 
 class ByteBpe:
     """Encoder and decoder of one vocabulary file."""

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from klaxon.llm.bpe import encode_documents
 from klaxon.llm.common import table
 from klaxon.llm.exact_dedup import mark_duplicates
+from klaxon.llm.packing import pack, pieces_of
 
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op4_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
@@ -23,9 +25,14 @@ def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return mark_duplicates(table(spark, folder, "documents"), keep="max")
 
 
+def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(pieces_of(table(spark, folder, "documents"), WORD_VOCABULARY))
+
+
 QUERIES = {
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op5_exact_dedup": op5_exact_dedup,
+    "op9_best_fit_packing": op9_best_fit_packing,
 }
 
 ORACLES = {
