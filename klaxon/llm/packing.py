@@ -310,11 +310,13 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         pieces.schema.fields + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]
     )
 
+    names = pieces.columns
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length, rank = (batch.column(c).to_numpy() for c in ("length", "_rank"))
             sequences, offsets = placed.places(length, rank)
-            columns = [batch.column(n) for n in pieces.columns] + [pa.array(sequences), pa.array(offsets)]
+            columns = [batch.column(n) for n in names] + [pa.array(sequences), pa.array(offsets)]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return map_batches(ranked(pieces, counts, capacity), work, schema)
