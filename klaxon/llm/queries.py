@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from klaxon.llm import langid, quality
 from klaxon.llm.bpe import encode_documents
-from klaxon.llm.common import table
+from klaxon.llm.common import fold, table
 from klaxon.llm.exact_dedup import mark_duplicates
 from klaxon.llm.packing import pack, pieces_of
 
@@ -29,9 +31,25 @@ def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(pieces_of(table(spark, folder, "documents"), WORD_VOCABULARY))
 
 
+def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    judged = langid.identify(documents, use=fold() != 0)
+    return judged.select("doc_id", (fold() == 0).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    scored = quality.classify(documents, table(spark, folder, "labels"), use=fold() != 0)
+    return scored.select(
+        "doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
 QUERIES = {
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_language_id": op6_language_id,
+    "op7_quality": op7_quality,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 
