@@ -29,7 +29,7 @@ DIMS = 1 << DIM_BITS
 # Sampled texts in all, and per language, at most; clusters of a language; rounds of k-means.
 SAMPLE, SAMPLE_PER_LANGUAGE = 6000, 1000
 CLUSTERS, ROUNDS = 4, 8
-REJECT = 0.5
+REJECT = 0.25
 SLICE = 1 << 20
 UND = "und"
 

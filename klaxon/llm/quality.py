@@ -1,7 +1,7 @@
 """Text quality: hashed word n-grams, logistic regression by follow-the-regularised-leader.
 
 Words are runs of letters and digits or runs of other signs, A-Z folded.  Single words and
-pairs are hashed to 2^20 slots; a text's vector has each n-gram's count over the square root
+pairs are hashed to 2^20 slots (a word and its repeat share one); a text's vector has each n-gram's count over the square root
 of the number of n-grams.  Weights come from a bounded sample of labelled rows (SAMPLE); every
 text is scored whole as one sparse dot product.
 
@@ -25,6 +25,8 @@ from klaxon.llm.labelled import labelled_sample
 from klaxon.llm.words import MARKED, U, hashes, mix, row_sums, shingles, spans
 
 SLOT_BITS = 20
+# A word followed by itself is one and the same pair, whatever the word.
+REPEAT = U(0x9E3779B97F4A7C15)
 # Labelled rows that are learned from at most.
 SAMPLE = 8192
 EPOCHS = 2
@@ -36,7 +38,7 @@ def slots(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     ends, body = bytes_of(column)
     starts, stops, per_row = spans(ends, body, MARKED)
     words = hashes(body, starts, stops)
-    pairs = mix(words[:-1] * U(3) + words[1:]) if len(words) > 1 else words[:0]
+    pairs = np.where(words[:-1] == words[1:], REPEAT, mix(words[:-1] * U(3) + words[1:]))
     rows = np.repeat(np.arange(len(per_row)), per_row)
     same = rows[1:] == rows[:-1]
     order = np.concatenate([rows, rows[1:][same]])
