@@ -10,6 +10,7 @@ from klaxon.llm import langid, quality
 from klaxon.llm.bpe import encode_documents
 from klaxon.llm.common import fold, table
 from klaxon.llm.exact_dedup import mark_duplicates
+from klaxon.llm.near_dedup import mark_near_duplicates
 from klaxon.llm.packing import pack, pieces_of
 
 
@@ -45,12 +46,17 @@ def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return mark_near_duplicates(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_language_id": op6_language_id,
     "op7_quality": op7_quality,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 ORACLES = {
