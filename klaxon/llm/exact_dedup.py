@@ -51,11 +51,11 @@ def cuts(keyed: DataFrame, buckets: int) -> list[str]:
     return sorted({found[i * len(found) // buckets] for i in range(1, buckets)}) if found else []
 
 
-def bucket_of(key: Column, splitters: list[str]) -> Column:
-    """How many splitters are not above the key, by binary search."""
+def search(key: Column, splitters: list, kind: str = "string") -> Column:
+    """How many of the rising splitters are not above the key, by binary search."""
     if not splitters:
         return F.lit(0)
-    ordered = F.split(F.lit(",".join(splitters)), ",")
+    ordered = F.split(F.lit(",".join(map(str, splitters))), ",").cast(f"array<{kind}>")
     start = F.struct(F.lit(0).alias("low"), F.lit(len(splitters)).alias("high"))
 
     def halve(span: Column, _: Column) -> Column:
@@ -89,7 +89,7 @@ def sorted_runs(df: DataFrame, id_col: str, text_col: str, keep: str, normalize,
         *([F.struct(*others).alias("_row")] if others else []),
     )
     splitters = cuts(keyed.select("_body", "_order"), BUCKETS_PER_PARTITION * shuffle_partitions(df.sparkSession))
-    placed = keyed.withColumn("_bucket", bucket_of(F.concat("_body", "_order"), splitters))
+    placed = keyed.withColumn("_bucket", search(F.concat("_body", "_order"), splitters))
     order = Window.partitionBy("_bucket").orderBy("_body", "_text", "_order")
     before = F.lag("_text").over(order)
     first, last = before.isNull(), F.lead("_order").over(order).isNull()

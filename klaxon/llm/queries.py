@@ -10,6 +10,7 @@ from klaxon.llm import langid, quality
 from klaxon.llm.bpe import encode_documents
 from klaxon.llm.common import fold, table
 from klaxon.llm.exact_dedup import mark_duplicates
+from klaxon.llm.fingerprints import compare_edited
 from klaxon.llm.near_dedup import mark_near_duplicates
 from klaxon.llm.packing import pack, pieces_of
 
@@ -18,6 +19,10 @@ BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_weighted_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return compare_edited(table(spark, folder, "documents"))
+
+
 def op4_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")
     digests = ("n_tokens", "ids_sha256", "decoded_sha256")
@@ -51,6 +56,7 @@ def op10_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_weighted_fingerprints": op1_weighted_fingerprints,
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_language_id": op6_language_id,
