@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from klaxon.llm import langid, quality
+from klaxon.llm import langid, quality, toxicity
 from klaxon.llm.bpe import encode_documents
 from klaxon.llm.common import fold, table
 from klaxon.llm.exact_dedup import mark_duplicates
@@ -23,6 +23,14 @@ def op1_weighted_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return compare_edited(table(spark, folder, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    scored = toxicity.classify(documents, table(spark, folder, "labels"), use=fold() != 0)
+    return scored.select(
+        "doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def op4_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")
     digests = ("n_tokens", "ids_sha256", "decoded_sha256")
@@ -57,6 +65,7 @@ def op10_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_weighted_fingerprints": op1_weighted_fingerprints,
+    "op3_toxicity": op3_toxicity,
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_language_id": op6_language_id,
