@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from klaxon.llm import langid, quality, toxicity
 from klaxon.llm.bpe import encode_documents
 from klaxon.llm.common import fold, table
+from klaxon.llm.context_tree import score_texts
 from klaxon.llm.exact_dedup import mark_duplicates
 from klaxon.llm.fingerprints import compare_edited
 from klaxon.llm.near_dedup import mark_near_duplicates
@@ -23,6 +24,10 @@ def op1_weighted_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return compare_edited(table(spark, folder, "documents"))
 
 
+def op2_context_tree(spark: SparkSession, folder: str) -> DataFrame:
+    return score_texts(table(spark, folder, "documents"), held_out=fold() == 1)
+
+
 def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")
     scored = toxicity.classify(documents, table(spark, folder, "labels"), use=fold() != 0)
@@ -65,6 +70,7 @@ def op10_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_weighted_fingerprints": op1_weighted_fingerprints,
+    "op2_context_tree": op2_context_tree,
     "op3_toxicity": op3_toxicity,
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op5_exact_dedup": op5_exact_dedup,
