@@ -33,7 +33,7 @@ WINDOW, STRIDE = 32, 24
 TABLE_BITS, DIM, HIDDEN, ATTENTION = 15, 8, 8, 8
 GRAM, LEAD = 4, 5
 # Labelled rows with label 1 and 0 that are learned from at most, and the longest text of them.
-SAMPLE, CLEAN_SAMPLE, FIT_CHARS = 2500, 4000, 50_000
+SAMPLE, CLEAN_SAMPLE, FIT_CHARS = 2000, 3000, 30_000
 ROUNDS, BATCH, RATE = 8, 256, 0.05
 CHUNK = 1024
 
@@ -213,17 +213,16 @@ def steps_of(words: Words, first: np.ndarray, length: np.ndarray) -> tuple[np.nd
 def log_odds(words: Words, at: np.ndarray, owner: np.ndarray, labels: np.ndarray) -> np.ndarray:
     """By table slot: smoothed log-odds of the labels of the texts that it occurs in."""
     size = 1 << TABLE_BITS
-    row = np.repeat(np.arange(len(words.per_row)), words.per_row)
-    pairs = np.unique(row.astype(np.int64) * len(words.word) + words.sequence)
-    row, word = pairs // len(words.word), pairs % len(words.word)
-    # Slots of each (text, distinct word).
     number = np.bincount(owner, minlength=len(words.word))
     begin = np.cumsum(number) - number
-    slot = at[np.repeat(begin[word], number[word]) + within(number[word])]
-    seen = np.unique(np.repeat(row, number[word]).astype(np.int64) * size + slot)
-    row, slot = seen // size, seen % size
-    toxic = np.bincount(slot[labels[row] == 1], minlength=size) / max(1, (labels == 1).sum())
-    clean = np.bincount(slot[labels[row] == 0], minlength=size) / max(1, (labels == 0).sum())
+    ends = np.concatenate([[0], np.cumsum(words.per_row)])
+    toxic, clean = np.zeros(size), np.zeros(size)
+    for i, label in enumerate(labels.tolist()):
+        word = np.unique(words.sequence[ends[i] : ends[i + 1]])
+        seen = np.unique(at[np.repeat(begin[word], number[word]) + within(number[word])])
+        (toxic if label else clean)[seen] += 1
+    toxic /= max(1, (labels == 1).sum())
+    clean /= max(1, (labels == 0).sum())
     prior = 3 / max(1, len(labels))
     return np.log((toxic + prior) / (clean + prior)).astype(np.float32)
 
@@ -283,21 +282,43 @@ def fit(texts: list[str], labels: np.ndarray) -> Network | None:
 
 def labelled_texts(
     documents: DataFrame, labels: DataFrame, label_col: str, use: Column, id_col: str, text_col: str
-) -> tuple[list[str], np.ndarray]:
-    """At most SAMPLE toxic and CLEAN_SAMPLE other texts, the smallest ids by hash; they come to the driver."""
+) -> DataFrame:
+    """_id, _text, _label of at most SAMPLE toxic and CLEAN_SAMPLE other texts, the smallest ids by hash."""
     known = one_label(labels.filter(use), id_col, label_col)
     order = (F.xxhash64("_id"), F.col("_id"))
     chosen = known.filter("_label = 1").orderBy(*order).limit(SAMPLE)
     chosen = chosen.union(known.filter("_label = 0").orderBy(*order).limit(CLEAN_SAMPLE))
-    rows = (
+    return (
         documents.filter(F.length(text_col) <= FIT_CHARS)
         .join(F.broadcast(chosen), F.col(id_col) == F.col("_id"))
-        .select("_id", F.col(text_col).alias("_text"), "_label")
-        .toArrow()
-        .to_pylist()
+        .select(F.col("_id").cast("long"), F.col(text_col).alias("_text"), "_label")
     )
-    rows.sort(key=lambda r: (r["_id"] * 0x9E3779B97F4A7C15 % 2**64, r["_text"]))
-    return [r["_text"] for r in rows], np.array([r["_label"] for r in rows], np.int64)
+
+
+def fitted(sample: DataFrame) -> Network | None:
+    """A network fitted in one task on the bounded sample; its parameters come back as one row."""
+
+    def work(group: pa.Table) -> pa.Table:
+        rows = group.to_pylist()
+        rows.sort(key=lambda r: (r["_id"] * 0x9E3779B97F4A7C15 % 2**64, r["_text"]))
+        net = fit([r["_text"] for r in rows], np.array([r["_label"] for r in rows], np.int64))
+        found = [] if net is None else [(k, v.shape, v.tobytes()) for k, v in net.p.items()]
+        names, shapes, values = zip(*found) if found else ((), (), ())
+        return pa.table(
+            {
+                "name": pa.array(names, pa.string()),
+                "shape": pa.array([list(x) for x in shapes], pa.list_(pa.int64())),
+                "value": pa.array(values, pa.binary()),
+            }
+        )
+
+    grouped = sample.withColumn("_all", F.lit(0)).groupBy("_all")
+    rows = grouped.applyInArrow(work, "name string, shape array<bigint>, value binary").collect()
+    if not rows:
+        return None
+    net = Network()
+    net.p = {r["name"]: np.frombuffer(r["value"], np.float32).reshape(r["shape"]) for r in rows}
+    return net
 
 
 def score(df: DataFrame, net: Network | None, text_col: str = "text", into: str = "score") -> DataFrame:
@@ -319,5 +340,4 @@ def classify(
     df: DataFrame, labels: DataFrame, use: Column, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Fit on the labelled rows that `use` allows, then `df` with score."""
-    texts, known = labelled_texts(df, labels, label_col, use, id_col, text_col)
-    return score(df, fit(texts, known), text_col)
+    return score(df, fitted(labelled_texts(df, labels, label_col, use, id_col, text_col)), text_col)
