@@ -98,7 +98,8 @@ class ByteBpe:
         self.strings |= {i: s.encode() for s, i in self.added.items()}
         longest = sorted(self.added, key=len, reverse=True)
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, longest)) + ")").split if longest else None
-        self.pre_tokens = regex.compile(PRE_TOKEN).findall
+        self.pre_token_pattern = regex.compile(PRE_TOKEN)
+        self.pre_tokens = self.pre_token_pattern.findall
         self.pieces = Memo(self.merge)
         self.words = Memo(self.encode_word)
 

@@ -15,6 +15,7 @@ from klaxon.llm.fingerprints import compare_edited
 from klaxon.llm.near_dedup import mark_near_duplicates
 from klaxon.llm.packing import pack, pieces_of
 
+from klaxon.llm.token_counts import apply_edits, example_edits
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -46,6 +47,20 @@ def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return mark_duplicates(table(spark, folder, "documents"), keep="max")
 
 
+def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    edited = apply_edits(documents.withColumn("edits", example_edits(F.col("text"))), BYTE_VOCABULARY, "edits")
+    return edited.select(
+        "doc_id",
+        "n_tokens",
+        F.size("edits").alias("n_edits"),
+        "edited_tokens",
+        F.length("edited_text").cast("long").alias("edited_chars"),
+        F.sha2("edited_text", 256).alias("edited_sha256"),
+        "encoded_chars",
+    )
+
+
 def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(pieces_of(table(spark, folder, "documents"), WORD_VOCABULARY))
 
@@ -76,6 +91,7 @@ QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_language_id": op6_language_id,
     "op7_quality": op7_quality,
+    "op8_token_counts": op8_token_counts,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_near_dedup": op10_near_dedup,
 }
