@@ -177,14 +177,19 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: s
 
 
 def identify(
-    df: DataFrame, use: Column | None = None, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id"
+    df: DataFrame,
+    use: Column | None = None,
+    text_col: str = "text",
+    lang_col: str = "lang",
+    id_col: str = "doc_id",
+    prefix: str = "",
 ) -> DataFrame:
-    """`df` with lang_pred, score and rejected; learns from the rows that `use` allows."""
+    """`df` with lang_pred, score and rejected (after `prefix`); learns from the rows that `use` allows."""
     model = fit(df if use is None else df.filter(use), text_col, lang_col, id_col)
     new = [
-        T.StructField("lang_pred", T.StringType()),
-        T.StructField("score", T.DoubleType()),
-        T.StructField("rejected", T.BooleanType()),
+        T.StructField(prefix + "lang_pred", T.StringType()),
+        T.StructField(prefix + "score", T.DoubleType()),
+        T.StructField(prefix + "rejected", T.BooleanType()),
     ]
     schema = appended(df, new)
 
@@ -192,6 +197,6 @@ def identify(
         for batch in slices(batches, text_col, SLICE):
             names, near, far = model.judge(batch.column(text_col))
             made = {"lang_pred": pa.array(names, pa.string()), "score": pa.array(near), "rejected": pa.array(far)}
-            yield with_columns(batch, schema.names, made)
+            yield with_columns(batch, schema.names, {prefix + k: v for k, v in made.items()})
 
     return map_batches(df, work, schema)

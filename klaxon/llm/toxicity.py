@@ -337,7 +337,14 @@ def score(df: DataFrame, net: Network | None, text_col: str = "text", into: str
 
 
 def classify(
-    df: DataFrame, labels: DataFrame, use: Column, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text"
+    df: DataFrame,
+    labels: DataFrame,
+    use: Column,
+    label_col: str = "toxic",
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    into: str = "score",
 ) -> DataFrame:
-    """Fit on the labelled rows that `use` allows, then `df` with score."""
-    return score(df, fitted(labelled_texts(df, labels, label_col, use, id_col, text_col)), text_col)
+    """Fit on the labelled rows that `use` allows, then `df` with the score."""
+    sample = labelled_texts(df.select(id_col, text_col), labels, label_col, use, id_col, text_col)
+    return score(df, fitted(sample), text_col, into)
