@@ -39,13 +39,18 @@ from klaxon.llm.common import map_batches, stored, texts_of
 
 CAPACITY = 2048
 RANK_GROUP = 1000
-# The linear program: rounds at most, configurations used from one round, how near to the best
-# one they must come, the share of a count that one round may cover, and how fast weights fall.
+# The linear program: rounds at most, configurations used from one round and how near to the
+# best one they must come.
 ROUNDS = 300
 ROUND_CONFIGS = 128
 NEAR = 0.1
-STEP = 0.5
-SHARPNESS = 4.0
+
+
+def pace(lengths: int) -> tuple[float, float]:
+    """(share of a count that one round may cover, how fast weights fall): finer for few lengths."""
+    step = min(0.5, max(0.02, lengths / 4000))
+    return step, min(30.0, 2 / step)
+
 
 # The tokenizer keeps these control characters, though str.split() drops them.
 CONTROL = re.compile("[\x1c-\x1f]")
@@ -174,9 +179,10 @@ def fillings(start: np.ndarray, taken: np.ndarray, capacity: int) -> list[np.nda
 def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> dict[tuple[int, ...], float]:
     """Configurations (falling lengths) and how many bins of each; no count is exceeded.
 
-    A length weighs its size times exp(-SHARPNESS * share covered); what is covered in full
-    leaves the program.  In one round no length is covered by more than STEP.
+    A length weighs its size times exp(-sharpness * share covered); what is covered in full
+    leaves the program.  In one round no length is covered by more than `step`.
     """
+    step, sharpness = pace(len(lengths))
     covered = np.zeros(len(lengths))
     index = np.zeros(capacity + 1, np.int64)
     index[lengths] = np.arange(len(lengths))
@@ -186,13 +192,13 @@ def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> dict[t
         if not len(still):
             break
         open_lengths = lengths[still]
-        value = open_lengths * np.exp(-SHARPNESS * covered[still])
+        value = open_lengths * np.exp(-sharpness * covered[still])
         best, taken = knapsack(value, open_lengths, capacity)
         total = value + best[capacity - open_lengths]
         order = np.argsort(-total, kind="stable")
         order = order[total[order] >= (1 - NEAR) * total.max()]
         allowed = np.zeros(len(lengths))
-        allowed[still] = np.minimum(STEP, 1 - covered[still])
+        allowed[still] = np.minimum(step, 1 - covered[still])
         made = 0
         for column in np.stack(fillings(open_lengths[order], taken, capacity)).T:
             places, times = np.unique(index[column[column > 0]], return_counts=True)
