@@ -104,18 +104,21 @@ def sets_of(df: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> Data
     return stored(map_batches(wanted, work, "_uid bigint, _set binary").dropDuplicates(["_uid"]), "shingle-sets")
 
 
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets are as similar as the threshold; neither is empty."""
+    small, large = (a, b) if len(a) <= len(b) else (b, a)
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    common = int((large[at] == small).sum())
+    return common >= THRESHOLD * (len(a) + len(b) - common)
+
+
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (_a, _b) whose sets are similar enough, stored."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for left, right in zip(batch.column("_left"), batch.column("_right")):
-                a, b = (np.frombuffer(x.as_buffer(), U) for x in (left, right))
-                small, large = (a, b) if len(a) <= len(b) else (b, a)
-                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                common = int((large[at] == small).sum())
-                keep.append(common >= THRESHOLD * (len(a) + len(b) - common))
+            pairs = zip(batch.column("_left"), batch.column("_right"))
+            keep = [similar(*(np.frombuffer(x.as_buffer(), U) for x in pair)) for pair in pairs]
             both = pa.RecordBatch.from_arrays([batch.column("_a"), batch.column("_b")], names=["_a", "_b"])
             yield both.filter(pa.array(keep, pa.bool_()))
 
@@ -161,8 +164,8 @@ def comparable(left: Column, right: Column) -> Column:
     return F.least(left, right) >= THRESHOLD * F.greatest(left, right)
 
 
-def tiles(members: DataFrame, hub: DataFrame, classes: DataFrame, sig: DataFrame) -> DataFrame:
-    """Pairs of different classes in one bucket whose signatures agree enough."""
+def tiles(members: DataFrame, hub: DataFrame, classes: DataFrame, sig: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between different classes of one bucket; each pair is looked at in its first bucket alone."""
     labelled = members.join(classes, "_uid", "left").withColumn("_class", F.coalesce("_class", "_uid"))
     open_keys = labelled.groupBy("_key").agg(
         F.min("_class").alias("_low"), F.max("_class").alias("_high")
@@ -185,29 +188,34 @@ def tiles(members: DataFrame, hub: DataFrame, classes: DataFrame, sig: DataFrame
     every = F.sequence(F.lit(0), F.col("_outs") + F.col("_ins") - 1)
     partner = F.when(F.col("_in"), F.sequence(F.lit(0), F.col("_outs") - 1)).otherwise(every)
     copied = blocked.select(
-        "_key", "_uid", "_class", "_size", "_block", F.explode(partner).alias("_other")
+        "_key", "_band", "_uid", "_class", "_size", "_block", F.explode(partner).alias("_other")
     ).select(
-        "_key", "_uid", "_class", "_size",
+        "_key", "_band", "_uid", "_class", "_size", "_block",
         F.least("_block", "_other").alias("_i"), F.greatest("_block", "_other").alias("_j"),
     )
 
     def work(tile: pa.Table) -> pa.Table:
-        uid, label, count = (tile.column(c).to_numpy() for c in ("_uid", "_class", "_size"))
-        marks = np.frombuffer(b"".join(tile.column("_sig").to_pylist()), np.uint32).reshape(len(uid), -1)
+        uid, label, count, block = (tile.column(c).to_numpy() for c in ("_uid", "_class", "_size", "_block"))
+        marks = np.frombuffer(b"".join(tile.column("_sig").to_pylist()), np.uint32).reshape(len(uid), BANDS, ROWS)
+        own = [np.frombuffer(x.as_buffer(), U) for x in tile.column("_set").combine_chunks()]
+        band, alone = tile.column("_band")[0].as_py(), tile.column("_i")[0].as_py() == tile.column("_j")[0].as_py()
         found = []
         for i in range(len(uid) - 1):
-            rest = np.flatnonzero(
-                (label[i + 1 :] != label[i])
-                & (np.minimum(count[i + 1 :], count[i]) >= THRESHOLD * np.maximum(count[i + 1 :], count[i]))
-            ) + i + 1
+            other = slice(i + 1, None)
+            # Pairs inside a block belong to the tile of that block with itself.
+            rest = (label[other] != label[i]) & (alone | (block[other] != block[i]))
+            rest &= np.minimum(count[other], count[i]) >= THRESHOLD * np.maximum(count[other], count[i])
+            rest = np.flatnonzero(rest) + i + 1
             if len(rest):
-                rest = rest[(marks[rest] == marks[i]).mean(1) >= ESTIMATE]
-                found += [(min(uid[i], u), max(uid[i], u)) for u in uid[rest]]
+                agree = marks[rest] == marks[i]
+                first = ~agree[:, :band].all(2).any(1)
+                rest = rest[first & (agree.mean((1, 2)) >= ESTIMATE)]
+                found += [(min(uid[i], uid[j]), max(uid[i], uid[j])) for j in rest if similar(own[i], own[j])]
         a, b = zip(*found) if found else ((), ())
         return pa.table({"_a": pa.array(a, pa.int64()), "_b": pa.array(b, pa.int64())})
 
-    signed = copied.join(sig, "_uid")
-    return signed.groupBy("_key", "_i", "_j").applyInArrow(work, "_a bigint, _b bigint").distinct()
+    signed = copied.join(sig, "_uid").join(sets, "_uid")
+    return stored(signed.groupBy("_key", "_i", "_j").applyInArrow(work, "_a bigint, _b bigint"), "more-links")
 
 
 def classes_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -215,7 +223,7 @@ def classes_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = sketches(df, id_col, text_col)
     nodes = stored(rows.groupBy("_digest").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_uid")).alias("_n")).select("_digest", F.col("_n._uid").alias("_node")), "nodes")
     own = rows.join(nodes.select(F.col("_node").alias("_uid")), "_uid", "left_semi")
-    banded = own.select("_uid", "_size", F.explode("_keys").alias("_key"))
+    banded = own.select("_uid", "_size", F.posexplode("_keys").alias("_band", "_key"))
     shared = banded.groupBy("_key").agg(F.count(F.lit(1)).alias("_many")).filter("_many > 1")
     members = stored(banded.join(shared, "_key"), "buckets")
     wanted = members.select("_uid").distinct()
@@ -231,8 +239,7 @@ def classes_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     star = stored(star, "pairs")
     links = linked(star, sets)
     found = components(links)
-    more = tiles(members, hub, found, rows.select("_uid", "_sig")).join(star, ["_a", "_b"], "left_anti")
-    extra = linked(more, sets)
+    extra = tiles(members, hub, found, rows.select("_uid", "_sig"), sets)
     if not extra.isEmpty():
         found = components(links.union(extra))
     return (
