@@ -23,7 +23,9 @@ NTFY_PRIORITIES = {"CRITICAL": "urgent", "WARNING": "high", "HIGH": "high", "LOW
 UNKNOWN_REGION = "UNKNOWN_REGION"
 REGION_SUFFIX = "_REGION"
 SLUG_SEPARATORS = "[^A-Z0-9А-ЯІЇЄҐ]+"
-REGION_ID_PATTERN = "^[A-Z0-9_]+$"
+REGION_ID_PATTERN = r"\A[A-Z0-9_]+\z"
+# What counts as white space in a title; no-break spaces do not.
+BLANK_PATTERN = r"\A[\x09-\x0D\x1C-\x20\x{1680}\x{2000}-\x{2006}\x{2008}-\x{200A}\x{2028}\x{2029}\x{205F}\x{3000}]*\z"
 MASK_LENGTH = 35
 # ----------------------------------------------------------------------------------
 
@@ -42,7 +44,7 @@ def trimmed(c: Column | str) -> Column:
 def is_blank(c: Column | str) -> Column:
     """True for null and for text of white space only; never null itself."""
     c = _col(c)
-    return c.isNull() | c.rlike(r"^\s*$")
+    return c.isNull() | c.rlike(BLANK_PATTERN)
 
 
 def clean_title(c: Column | str) -> Column:

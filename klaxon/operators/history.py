@@ -12,6 +12,7 @@ from klaxon.schemas import ALERT_HISTORY, ANOMALY_EVENT
 
 DAY = "event_date"
 BATCH = "batch_id"
+RUN = "run_id"
 
 
 def to_alert_history(alerts: DataFrame, as_of: Column) -> DataFrame:
@@ -51,20 +52,22 @@ def archive_anomalies(anomalies: DataFrame, path: str, mode: str = "append") ->
     write_days(anomalies.select(*ANOMALY_EVENT.names), path, "detected_at", mode)
 
 
-def write_days(rows: DataFrame, path: str, at: str, mode: str = "append", batch_id: int | None = None) -> None:
+def write_days(
+    rows: DataFrame, path: str, at: str, mode: str = "append", batch_id: int | None = None, run_id: str = "0"
+) -> None:
     """One folder per day, rows of a region together inside a file.
 
     REBALANCE splits a crowded day into even files and merges thin ones, without sampling.
     The sort gives narrow region and time ranges per row group, which is what the filters
     of the finders below are pushed down to.  With a `batch_id` the rows of that micro-batch
-    replace what an earlier attempt of it wrote.
+    replace what an earlier attempt of it wrote in the same run; other runs' rows stay.
     """
     laid_out = rows.withColumn(DAY, F.to_date(at)).hint("rebalance", DAY).sortWithinPartitions(DAY, "region_id", at)
     if batch_id is None:
         laid_out.write.mode(mode).partitionBy(DAY).parquet(path)
         return
-    replacing = laid_out.withColumn(BATCH, F.lit(batch_id)).write.mode("overwrite")
-    replacing.option("partitionOverwriteMode", "dynamic").partitionBy(BATCH, DAY).parquet(path)
+    replacing = laid_out.withColumn(RUN, F.lit(run_id)).withColumn(BATCH, F.lit(batch_id)).write.mode("overwrite")
+    replacing.option("partitionOverwriteMode", "dynamic").partitionBy(RUN, BATCH, DAY).parquet(path)
 
 
 def _with_day(schema: StructType) -> StructType:

@@ -105,20 +105,20 @@ class MappingChange(NamedTuple):
 def validate_regions(requests: DataFrame) -> DataFrame:
     """Region requests (seq, region_id, display_name) with `reason`, null where valid."""
     reason = (
-        F.when(C.is_blank("region_id"), F.lit("regionId must not be blank"))
+        F.when(C.is_blank("region_id"), F.lit("BLANK_REGION_ID"))
         .when(
             ~F.col("region_id").rlike(C.REGION_ID_PATTERN),
-            F.lit("regionId must consist of uppercase alphanumeric characters and underscores"),
+            F.lit("BAD_REGION_ID"),
         )
-        .when(C.is_blank("display_name"), F.lit("displayName must not be blank"))
+        .when(C.is_blank("display_name"), F.lit("BLANK_DISPLAY_NAME"))
     )
     return requests.withColumn("reason", reason)
 
 
 def validate_mappings(requests: DataFrame) -> DataFrame:
     """Mapping requests (seq, raw_title, region_id) with `reason`, null where valid."""
-    reason = F.when(C.is_blank("raw_title"), F.lit("rawTitle must not be blank")).when(
-        C.is_blank("region_id"), F.lit("regionId must not be blank")
+    reason = F.when(C.is_blank("raw_title"), F.lit("BLANK_TITLE")).when(
+        C.is_blank("region_id"), F.lit("BLANK_REGION_ID")
     )
     return requests.withColumn("reason", reason)
 
@@ -141,7 +141,7 @@ def _settle(requests: DataFrame, key: str, taken: DataFrame, conflict: str) -> D
 
 def judge_regions(regions: DataFrame, requests: DataFrame) -> DataFrame:
     """What each region request comes to: `reason` is null if it is created."""
-    return _settle(validate_regions(requests), "region_id", regions, "Canonical region already exists")
+    return _settle(validate_regions(requests), "region_id", regions, "REGION_EXISTS")
 
 
 def add_regions(regions: DataFrame, requests: DataFrame, as_of: Column) -> RegionChange:
@@ -179,7 +179,7 @@ def judge_mappings(mappings: DataFrame, regions: DataFrame, requests: DataFrame)
         .withColumn(
             "reason",
             F.when(
-                F.col("reason").isNull() & F.col("_known").isNull(), F.lit("Canonical region not found")
+                F.col("reason").isNull() & F.col("_known").isNull(), F.lit("NO_SUCH_REGION")
             ).otherwise(F.col("reason")),
         )
         .drop("_known")

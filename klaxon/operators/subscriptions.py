@@ -71,7 +71,7 @@ def validate_creates(changes: DataFrame) -> DataFrame:
         .when(F.col("channel").isNull(), F.lit("channel must not be null"))
         .when(~F.col("channel").isin(*ROUTING_KEYS), F.lit("channel is not known"))
         .when(C.is_blank("recipient_address"), F.lit("recipientAddress must not be blank"))
-        .when(C.is_blank("region_id"), F.lit("regionId must not be blank"))
+        .when(C.is_blank("region_id"), F.lit("BLANK_REGION_ID"))
     )
     return changes.filter(F.col("op") == "CREATE").withColumn("reason", reason)
 

@@ -87,10 +87,10 @@ VIEWS = {
             CASE WHEN c_custkey % 29 = 0 THEN '' ELSE ' Area ' || c_custkey || ' ' END AS display_name
         FROM customer""",
     "checked_requests": """
-        SELECT *, CASE WHEN trim(region_id) = '' THEN 'regionId must not be blank'
+        SELECT *, CASE WHEN trim(region_id) = '' THEN 'BLANK_REGION_ID'
             WHEN NOT regexp_full_match(region_id, '[A-Z0-9_]+')
-                THEN 'regionId must consist of uppercase alphanumeric characters and underscores'
-            WHEN trim(display_name) = '' THEN 'displayName must not be blank' END AS reason
+                THEN 'BAD_REGION_ID'
+            WHEN trim(display_name) = '' THEN 'BLANK_DISPLAY_NAME' END AS reason
         FROM region_requests""",
     "mapping_requests": """
         SELECT c_custkey AS seq,
@@ -288,7 +288,7 @@ _SETTLED_REGIONS = """
     SELECT *, CASE WHEN reason IS NOT NULL THEN reason
         WHEN region_id IN (SELECT region_id FROM regions)
             OR row_number() OVER (PARTITION BY region_id, reason IS NULL ORDER BY seq) > 1
-        THEN 'Canonical region already exists' END AS outcome
+        THEN 'REGION_EXISTS' END AS outcome
     FROM checked_requests"""
 
 
@@ -296,9 +296,9 @@ def _settled_mappings(requests: str) -> dict[str, str]:
     return {
         "placed": f"""
             SELECT *, lower(trim(raw_title, ' ' || chr(9))) AS title, upper(trim(region_id)) AS target,
-                CASE WHEN trim(region_id) = '' THEN 'regionId must not be blank'
+                CASE WHEN trim(region_id) = '' THEN 'BLANK_REGION_ID'
                      WHEN upper(trim(region_id)) NOT IN (SELECT region_id FROM regions)
-                     THEN 'Canonical region not found' END AS reason
+                     THEN 'NO_SUCH_REGION' END AS reason
             FROM {requests}""",
         "settled": """
             SELECT *, CASE WHEN reason IS NOT NULL THEN reason
@@ -568,7 +568,7 @@ ORACLES: dict[str, str] = {
     "subs_changes": _changed("CREATE", "UPDATE", "DELETE"),
     "subs_rejected": _sql(
         """SELECT seq, op, CASE WHEN channel IS NULL THEN 'channel must not be null'
-                ELSE 'regionId must not be blank' END AS reason
+                ELSE 'BLANK_REGION_ID' END AS reason
            FROM changes WHERE op = 'CREATE' AND (channel IS NULL OR trim(region_id) = '')
            UNION ALL
            SELECT c.seq, c.op, 'Subscription not found' FROM changes c

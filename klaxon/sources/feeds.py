@@ -47,15 +47,15 @@ def drop_unchanged_snapshots(
 
     A blank version is never suppressed and never remembered.  Versions are compared on the
     three narrow columns only, feed by feed in slots of the sequence; the payloads are
-    joined back by (feed, seq).
+    joined back by (feed, seq, version).  Repeats of a (feed, seq) are one poll: each is
+    compared with what came before that number, and the largest version of them is remembered.
     """
-    narrow = polls.select(feed, seq, version)
     known = F.when(~C.is_blank(version), F.col(version))
-    compared = running_last(
-        narrow.withColumn("_known", known), [feed], seq, "_known", "_before", polls_per_slot, inclusive=False
-    )
-    unchanged = compared.filter(F.col("_known") == F.col("_before")).select(feed, seq)
-    return polls.join(unchanged, [feed, seq], "left_anti")
+    narrow = polls.select(feed, seq, known.alias("_known"))
+    one = narrow.groupBy(feed, seq).agg(F.max("_known").alias("_kept"))
+    before = running_last(one, [feed], seq, "_kept", "_before", polls_per_slot, inclusive=False)
+    unchanged = before.filter(F.col("_before").isNotNull()).select(feed, seq, F.col("_before").alias(version))
+    return polls.join(unchanged, [feed, seq, version], "left_anti")
 
 
 def snapshot_to_events(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from pyspark.sql.types import StringType, StructField, StructType
 
 from klaxon.schemas import ALERT_JSON, ANOMALY_JSON, LOG_RECORD
@@ -129,10 +130,19 @@ def _encoded(rows: DataFrame, body) -> DataFrame:
     return rows.select(*lineage, F.col("region_id").alias("key"), F.to_json(body, _WRITE).alias("value"))
 
 
-def as_log_records(encoded: DataFrame, topic: str, partitions: int = LOG_PARTITIONS) -> DataFrame:
-    """Give encoded rows the lineage columns of a log file; existing ones are kept."""
+def as_log_records(
+    encoded: DataFrame, topic: str, partitions: int = LOG_PARTITIONS, batch_id: int | None = None
+) -> DataFrame:
+    """Give encoded rows the lineage columns of a log file; existing ones are kept.
+
+    With a `batch_id` rows without an offset get one that a replay of the batch gives again:
+    the batch in the upper 32 bits, the rank by content in the log partition below.
+    """
     have = set(encoded.columns)
     partition = F.pmod(F.xxhash64("key"), F.lit(partitions)).cast("int")
+    if batch_id is not None and "offset" not in have:
+        placed = encoded if "partition" in have else encoded.withColumn("partition", partition)
+        return as_log_records(_with_offsets(placed, batch_id), topic, partitions)
     return encoded.select(
         (F.col("topic") if "topic" in have else F.lit(topic)).alias("topic"),
         (F.col("partition") if "partition" in have else partition).alias("partition"),
@@ -142,6 +152,20 @@ def as_log_records(encoded: DataFrame, topic: str, partitions: int = LOG_PARTITI
     )
 
 
+def _with_offsets(placed: DataFrame, batch_id: int, slots: int = 64) -> DataFrame:
+    """Ranks from 0 in each log partition, worked out in slots of the content hash."""
+    content = F.xxhash64("key", "value")
+    slotted = placed.withColumn("_hash", content).withColumn("_slot", F.pmod(content, F.lit(slots)))
+    before = Window.partitionBy("partition").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    bases = slotted.groupBy("partition", "_slot").count().select(
+        "partition", "_slot", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base")
+    )
+    own = Window.partitionBy("partition", "_slot").orderBy("_hash", "key", "value")
+    offset = F.shiftleft(F.lit(batch_id).cast("long"), 32) + F.col("_base") + F.col("_nth") - 1
+    ranked = slotted.withColumn("_nth", F.row_number().over(own)).join(bases, ["partition", "_slot"])
+    return ranked.withColumn("offset", offset).drop("_hash", "_slot", "_base", "_nth")
+
+
 def write_log_files(encoded: DataFrame, path: str, topic: str, mode: str = "append") -> None:
     """Append records to a file log, one folder per log partition.
 

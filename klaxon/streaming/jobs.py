@@ -1,14 +1,16 @@
 """The streaming jobs: poll intake, archive and match, analysis, anomaly dispatch, delivery.
 
 Each job is its own query with its own checkpoint, so the consumers of a log do not wait
-for each other.  A job with several outputs writes them per micro-batch under a `batch_id`
-partition that a replay overwrites; ids are hashes of content, so a replayed batch gives
+for each other.  A job with several outputs writes them per micro-batch under (`run_id`,
+`batch_id`) partitions that a replay overwrites and another checkpoint adds to; ids are hashes of content, so a replayed batch gives
 the same rows.  Dimension and subscription tables are read anew for every micro-batch.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,26 +19,44 @@ from pyspark.sql.streaming import StreamingQuery
 from klaxon.operators import delivery, history, matching, regions
 from klaxon.operators.debounce import DEBOUNCE_TTL_MS
 from klaxon.operators.spikes import COOLDOWN_MS, THRESHOLD, WINDOW_MS
-from klaxon.schemas import ALERT_JSON
+from klaxon.schemas import ALERT_EVENT, ALERT_JSON, ANOMALY_JSON
 from klaxon.sources import feeds, logs
 from klaxon.streaming import stateful
 
 Table = Callable[[], DataFrame]
 
 
-def overwrite_batch(rows: DataFrame, path: str, batch_id: int, *partitions: str) -> None:
-    """Write one micro-batch's rows; running it again replaces them."""
+class Batch(NamedTuple):
+    """A micro-batch of a run.  A checkpoint is a run: replays keep it, a new one has other rows."""
+
+    run_id: str
+    number: int
+
+
+def run_of(checkpoint: str) -> str:
+    return hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
+
+
+def overwrite_batch(rows: DataFrame, path: str, batch: Batch, *partitions: str) -> None:
+    """Write one micro-batch's rows; running it again in its run replaces them."""
     (
-        rows.withColumn("batch_id", F.lit(batch_id))
+        rows.withColumn("run_id", F.lit(batch.run_id))
+        .withColumn("batch_id", F.lit(batch.number))
+        .hint("rebalance", *partitions)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id", *partitions)
+        .partitionBy("run_id", "batch_id", *partitions)
         .parquet(path)
     )
 
 
-def _start(stream: DataFrame, work, checkpoint: str, name: str, once: bool) -> StreamingQuery:
-    def batch(rows: DataFrame, batch_id: int) -> None:
+def _start(
+    stream: DataFrame, work, checkpoint: str, name: str, once: bool, run_id: str | None = None
+) -> StreamingQuery:
+    run = run_id or run_of(checkpoint)
+
+    def batch(rows: DataFrame, number: int) -> None:
+        batch_id = Batch(run, number)
         rows.persist()
         try:
             work(rows, batch_id)
@@ -61,7 +81,7 @@ def intake(
     The events are not debounced here: `debounced_log` does that on keyed state.
     """
 
-    def work(rows: DataFrame, batch_id: int) -> None:
+    def work(rows: DataFrame, batch_id: Batch) -> None:
         now = F.current_timestamp() if as_of is None else as_of
         known = mappings()
         overwrite_batch(feeds.snapshot_to_events(rows, known, now), log_path, batch_id)
@@ -83,9 +103,9 @@ def debounced_log(
 ) -> StreamingQuery:
     """Polled events through the debounce into the alert log; late ones aside."""
 
-    def work(rows: DataFrame, batch_id: int) -> None:
+    def work(rows: DataFrame, batch_id: Batch) -> None:
         on_time, late = _split_late(rows)
-        overwrite_batch(logs.as_log_records(logs.encode_alerts(on_time), logs.RAW_ALERTS), log_path, batch_id)
+        overwrite_batch(logs.as_log_records(logs.encode_alerts(on_time), logs.RAW_ALERTS, batch_id=batch_id.number), log_path, batch_id)
         overwrite_batch(late, late_path, batch_id)
 
     judged = stateful.debounce_stream(events, ttl_ms, delay_ms, keep_late=True)
@@ -105,15 +125,16 @@ def archive_and_match(
     checkpoint: str,
     as_of: Column | None = None,
     once: bool = True,
+    run_id: str | None = None,
 ) -> StreamingQuery:
     """Alert log to history and to routed tasks; what cannot be read or stored is quarantined."""
 
-    def work(records: DataFrame, batch_id: int) -> None:
+    def work(records: DataFrame, batch_id: Batch) -> None:
         now = F.current_timestamp() if as_of is None else as_of
-        alerts = logs.decode_alerts(records)
-        complete, incomplete = history.split_incomplete(history.to_alert_history(alerts, now))
-        history.write_days(complete, history_path, "event_timestamp", batch_id=batch_id)
-        routed, rejected = delivery.route_tasks(matching.match_alerts(alerts, subscriptions(), now))
+        # Archive first: what can't be stored isn't matched either.
+        complete, incomplete = history.split_incomplete(history.to_alert_history(logs.decode_alerts(records), now))
+        history.write_days(complete, history_path, "event_timestamp", batch_id=batch_id.number, run_id=batch_id.run_id)
+        routed, rejected = delivery.route_tasks(matching.match_alerts(complete.select(*ALERT_EVENT.names), subscriptions(), now))
         overwrite_batch(routed, queue_path, batch_id, "channel")
         _, broken = logs.split_malformed(records, ALERT_JSON)
         reasons = (
@@ -123,7 +144,7 @@ def archive_and_match(
         )
         overwrite_batch(reasons, quarantine_path, batch_id)
 
-    return _start(log, work, checkpoint, "archive_and_match", once)
+    return _start(log, work, checkpoint, "archive_and_match", once, run_id)
 
 
 def _refused(rows: DataFrame, reason: str) -> DataFrame:
@@ -144,10 +165,10 @@ def analyse(
     """Alert log to anomalies.  They are published first: a failing archive cannot hold them back."""
     anomalies = stateful.spikes_stream(logs.decode_alerts(log), window_ms, threshold, cooldown_ms, delay_ms)
 
-    def work(rows: DataFrame, batch_id: int) -> None:
-        records = logs.as_log_records(logs.encode_anomalies(rows), logs.ANOMALIES)
+    def work(rows: DataFrame, batch_id: Batch) -> None:
+        records = logs.as_log_records(logs.encode_anomalies(rows), logs.ANOMALIES, batch_id=batch_id.number)
         overwrite_batch(records, anomaly_log_path, batch_id)
-        history.write_days(rows, history_path, "detected_at", batch_id=batch_id)
+        history.write_days(rows, history_path, "detected_at", batch_id=batch_id.number, run_id=batch_id.run_id)
 
     return _start(anomalies, work, checkpoint, "analyse", once)
 
@@ -156,17 +177,21 @@ def dispatch_anomalies(
     anomaly_log: DataFrame,
     subscriptions: Table,
     queue_path: str,
+    quarantine_path: str,
     checkpoint: str,
     as_of: Column | None = None,
     once: bool = True,
 ) -> StreamingQuery:
-    """Anomaly log to routed tasks."""
+    """Anomaly log to routed tasks; what cannot be read or routed is quarantined."""
 
-    def work(records: DataFrame, batch_id: int) -> None:
+    def work(records: DataFrame, batch_id: Batch) -> None:
         now = F.current_timestamp() if as_of is None else as_of
         tasks = matching.match_anomalies(logs.decode_anomalies(records), subscriptions(), now)
-        routed, _ = delivery.route_tasks(tasks)
+        routed, rejected = delivery.route_tasks(tasks)
         overwrite_batch(routed, queue_path, batch_id, "channel")
+        _, broken = logs.split_malformed(records, ANOMALY_JSON)
+        reasons = _refused(broken, "malformed record").unionByName(_refused(rejected, "no queue for channel"))
+        overwrite_batch(reasons, quarantine_path, batch_id)
 
     return _start(anomaly_log, work, checkpoint, "dispatch_anomalies", once)
 
@@ -185,7 +210,7 @@ def deliver(
 ) -> StreamingQuery:
     """Queued tasks, once per task id and TTL, rendered into the outbox; late ones aside."""
 
-    def work(rows: DataFrame, batch_id: int) -> None:
+    def work(rows: DataFrame, batch_id: Batch) -> None:
         on_time, late = _split_late(rows)
         rendered = delivery.outbox(on_time, server, default_topic, default_url, username, dry_run)
         overwrite_batch(rendered, outbox_path, batch_id, "channel")

@@ -47,6 +47,17 @@ def test_poll_to_log(spark, tmp_path):
     kept = logs.decode_alerts(logs.read_log_files(spark, at("log")))
     assert keys(kept, "event_id") == keys(debounce(events, HOUR), "event_id")
 
+    # The job's own log is archived whole, and each record has its own offset.
+    log = logs.read_log_files(spark, at("log"), streaming=True)
+    subs = A.subscriptions(spark, FOLDER)
+    done(jobs.archive_and_match(log, lambda: subs, at("history"), at("queue"), at("bad"), at("cp3"), A.as_of()))
+    stored = history.read_alert_history(spark, at("history"))
+    assert keys(stored, "event_id") == keys(kept, "event_id")
+    assert stored.select("kafka_partition", "kafka_offset").distinct().count() == stored.count()
+    assert spark.read.schema("reason string, row string").parquet(at("bad")).isEmpty()
+    tasks = jobs.read_batches(spark, at("queue"), NOTIFICATION_TASK)
+    assert keys(tasks, "task_id") == keys(match_alerts(kept, subs, A.as_of()), "task_id")
+
 
 def test_log_to_outbox(spark, tmp_path):
     at = lambda name: str(tmp_path / name)
@@ -60,16 +71,16 @@ def test_log_to_outbox(spark, tmp_path):
     log.unionByName(broken).unionByName(torn).repartition(3).write.parquet(at("log"))
 
     source = logs.read_log_files(spark, at("log"), streaming=True, files_per_batch=1)
-    matching = lambda cp: jobs.archive_and_match(
-        source, lambda: subs, at("history"), at("queue"), at("bad"), at(cp), A.as_of()
+    matching = lambda cp, run="run": jobs.archive_and_match(
+        source, lambda: subs, at("history"), at("queue"), at("bad"), at(cp), A.as_of(), run_id=run
     )
     done(matching("cp1"))
     stored = history.read_alert_history(spark, at("history"))
     assert keys(stored, "event_id", "kafka_offset") == keys(A.with_lineage(alerts), "event_id", "offset")
     tasks = jobs.read_batches(spark, at("queue"), NOTIFICATION_TASK)
-    from_torn = tasks.filter("event_id = 'x'").count()
+    assert tasks.filter("event_id = 'x'").isEmpty()
     want = match_alerts(alerts, subs, A.as_of())
-    assert tasks.count() - from_torn == want.count()
+    assert tasks.count() == want.count()
     assert keys(tasks.filter("event_id <> 'x'"), "task_id", "message") == keys(want, "task_id", "message")
     reasons = spark.read.parquet(at("bad")).groupBy("reason").count()
     assert dict(map(tuple, reasons.collect())) == {"malformed record": 2, "incomplete history row": 1}
@@ -80,6 +91,10 @@ def test_log_to_outbox(spark, tmp_path):
     again = history.read_alert_history(spark, at("history")), jobs.read_batches(spark, at("queue"), NOTIFICATION_TASK)
     assert tuple(t.count() for t in again) == before
 
+    # Another run adds to what is there.
+    done(matching("cp-other", "other"))
+    assert history.read_alert_history(spark, at("history")).count() == 2 * before[0]
+
     queue = jobs.read_batches(spark, at("queue"), NOTIFICATION_TASK, streaming=True)
     done(jobs.deliver(queue, at("outbox"), at("late"), at("cp2"), "https://push.example.org", "all", None, "desk"))
     sent = spark.read.parquet(at("outbox"))
@@ -98,6 +113,6 @@ def test_log_to_anomaly_tasks(spark, tmp_path):
     stored = history.read_anomaly_history(spark, at("history"))
     assert keys(stored, "anomaly_id", "event_count") == keys(want, "anomaly_id", "event_count")
     published = jobs.read_batches(spark, at("anomalies"), LOG_RECORD, streaming=True)
-    done(jobs.dispatch_anomalies(published, lambda: subs, at("queue"), at("cp2"), A.as_of()))
+    done(jobs.dispatch_anomalies(published, lambda: subs, at("queue"), at("bad"), at("cp2"), A.as_of()))
     tasks = jobs.read_batches(spark, at("queue"), NOTIFICATION_TASK)
     assert keys(tasks, "task_id", "message") == keys(match_anomalies(want, subs, A.as_of()), "task_id", "message")

@@ -190,7 +190,7 @@ def test_mapping_requests(spark):
     assert change.mappings.count() == 3
     assert one(change.unrecognized, "raw_title") == [("М. БРОВАРИ",)]
     assert one(change.rejected, "seq", "reason") == [
-        (1, "Canonical region not found"),
+        (1, "NO_SUCH_REGION"),
         (3, "Mapping for title already exists"),
         (4, "Mapping for title already exists"),
     ]
@@ -417,3 +417,21 @@ def test_matching_without_broadcast(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert len(want) == len(set(want)) > 300 * 40
+
+
+def test_blank_titles_and_region_ids(spark):
+    from klaxon.functions import columns
+
+    odd = [(" ", True), ("\u001c \t", True), (" ", False), ("", True), (None, True), ("a\n", False)]
+    rows = spark.createDataFrame(odd, "t string, want boolean").withColumn("got", columns.is_blank("t"))
+    assert rows.filter("got <> want").isEmpty()
+    asked = spark.createDataFrame([(1, "ABC\n", "x"), (2, "ABC", "x"), (3, "AB C", "x")], "seq int, region_id string, display_name string")
+    judged = {r["seq"]: r["reason"] for r in regions.validate_regions(asked).collect()}
+    assert judged == {1: "BAD_REGION_ID", 2: None, 3: "BAD_REGION_ID"}
+
+
+def test_repeated_polls_count_as_one(spark):
+    polls = [("f", 1, "a", "p"), ("f", 1, "a", "p"), ("f", 2, "a", "q"), ("f", 2, "b", "r"), ("f", 3, "b", "s"), ("f", 4, "", "t")]
+    df = spark.createDataFrame(polls, "feed string, seq long, last_modified string, payload string")
+    kept = sorted(r["payload"] for r in feeds.drop_unchanged_snapshots(df).collect())
+    assert kept == ["p", "p", "r", "t"]
