@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -22,9 +24,35 @@ SETTINGS = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the settings that matter for results or plans to a running session."""
+    """Apply the settings that matter for results or plans to a running session, and ship the code."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    return ship_code(spark)
+
+
+def ship_code(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers, once per application.
+
+    Workers import the operators' functions by name; without this they find them only where
+    the package is installed or lies on their path.
+    """
+    shipped = "spark.klaxon.shipped"
+    application = spark.sparkContext.applicationId
+    if spark.conf.get(shipped, None) == application:
+        return spark
+    root = os.path.dirname(os.path.abspath(__file__))
+    body = io.BytesIO()
+    with zipfile.ZipFile(body, "w", zipfile.ZIP_DEFLATED) as archive:
+        for folder, _, names in sorted(os.walk(root)):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                archive.write(path, os.path.relpath(path, os.path.dirname(root)))
+    # addPyFile copies the file to all executors; the driver's own copy may be anywhere.
+    path = os.path.join(tempfile.mkdtemp(prefix="klaxon-code-"), "klaxon-code.zip")
+    with open(path, "wb") as file:
+        file.write(body.getvalue())
+    spark.sparkContext.addPyFile(path)
+    spark.conf.set(shipped, application)
     return spark
 
 
