@@ -32,7 +32,7 @@ from klaxon.llm.exact_dedup import search
 from klaxon.llm.words import U, hashes, mix, spans
 
 SAMPLES = 128
-SLICE_CHARS = 6 << 20
+SLICE_CHARS = 3 << 20
 
 
 def word_weights(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
