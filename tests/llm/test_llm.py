@@ -423,3 +423,19 @@ def test_batches_keep_rows_in_order(spark):
 
     df = spark.createDataFrame([(i, "x" * (i % 70)) for i in range(500)], "doc_id bigint, text string").coalesce(1)
     assert [r["doc_id"] for r in map_batches(df, work, df.schema).collect()] == list(range(500))
+
+
+def test_context_tree_learns_words_from_words(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choices("bcdfgklm", k=3)) + "ationing" for _ in range(48)]
+    after = dict(zip(words, words[7:] + words[:7]))
+    rows = []
+    for i in range(120):
+        text = [rng.choice(words)]
+        while len(text) < 60:
+            text.append(after[text[-1]])
+        rows.append((i, " ".join(text)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = context_tree.score_texts(df, fold() == 1).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    # Both are negative: half the base's loss at most.
+    assert got[0] > got[1] / 2
