@@ -3,8 +3,8 @@
 Texts are lower-cased, all but letters become spaces, and n-grams of one to three bytes are
 hashed to DIMS numbers.  Document frequencies cover every text that may be learned from; the
 centroids are clusters (spherical k-means) of a bounded sample of each language.  A text gets
-the language of the centroid nearest by cosine; it is rejected where it is farther from it
-than REJECT times the farthest sampled text of that language is near.
+the language of the centroid nearest by cosine; it is rejected where it is less similar to it
+than REJECT times a low quantile of that centroid's own sampled texts.
 
 Nulls and texts without a letter are `und` with score 0, and rejected.  A null language is not
 learned from; without any language all texts are `und`.  Repeated rows are judged each.
@@ -29,7 +29,9 @@ DIMS = 1 << DIM_BITS
 # Sampled texts in all, and per language, at most; clusters of a language; rounds of k-means.
 SAMPLE, SAMPLE_PER_LANGUAGE = 6000, 1000
 CLUSTERS, ROUNDS = 4, 8
-REJECT = 0.25
+# A centroid's floor: this share of the similarity that QUANTILE of its own sampled texts fall below;
+# with fewer than OWN texts, of that of all its language's.
+REJECT, QUANTILE, OWN = 0.65, 0.01, 20
 SLICE = 1 << 20
 UND = "und"
 
@@ -110,6 +112,14 @@ def clustered(x: np.ndarray) -> np.ndarray:
     return centroids
 
 
+def floors(x: np.ndarray, centroids: np.ndarray) -> list[float]:
+    """The least similarity of each centroid that is not rejected."""
+    similar = x @ centroids.T
+    own, near = np.argmax(similar, axis=1), similar.max(1)
+    groups = [near[own == k] for k in range(len(centroids))]
+    return [REJECT * float(np.quantile(g if len(g) >= OWN else near, QUANTILE)) for g in groups]
+
+
 class Model:
     """Inverse document frequencies, centroids, the language of each and its least similarity."""
 
@@ -169,10 +179,9 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: s
         x = x[np.einsum("ij,ij->i", x, x) > 0]
         if len(x):
             own = clustered(x)
-            floor = REJECT * float((x @ own.T).max(1).min())
             centroids.append(own)
             names += [name] * len(own)
-            least += [floor] * len(own)
+            least += floors(x, own)
     return Model(idf, np.concatenate(centroids), names, np.array(least))
 
 

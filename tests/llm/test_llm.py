@@ -439,3 +439,34 @@ def test_context_tree_learns_words_from_words(spark):
     got = context_tree.score_texts(df, fold() == 1).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     # Both are negative: half the base's loss at most.
     assert got[0] > got[1] / 2
+
+
+def test_language_id_rejects_foreign_and_noise():
+    rng = random.Random(12)
+    parts = {"en": "the and thing with ther ation of ing her was", "de": "der und schaft für keit nicht über ein auch wird"}
+    noise = ["".join(rng.choices("bcdfghjklmnpqrstvwxyz", k=7)) for _ in range(60)]
+    odd = [
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan, heille on annettu järki",
+        " ".join(noise), "qJ8xZw9kVbQmXyPz0LcRfTgHjKvBnM" * 5,
+    ]
+    idf_texts, made = [], {}
+    for lang, words in parts.items():
+        made[lang] = [prose(rng, rng.randint(15, 80), words.split()) for _ in range(120)]
+        idf_texts += made[lang]
+    # Mislabelled and one-letter texts in a sample don't lower the floor.
+    made["en"][:3] = ["x", "q", odd[0]]
+    seen = (langid.counts(pa.array(idf_texts)) > 0).sum(0)
+    idf = np.log((1 + len(idf_texts)) / (1 + seen)).astype(np.float32) + np.float32(1)
+    centroids, names, least = [], [], []
+    for lang, texts in made.items():
+        x = langid.vectors(langid.counts(pa.array(texts[:100])), idf)
+        own = langid.clustered(x)
+        centroids.append(own)
+        names += [lang] * len(own)
+        least += langid.floors(x, own)
+    model = langid.Model(idf, np.concatenate(centroids), names, np.array(least))
+    clean = made["en"][100:] + made["de"][100:]
+    assert not model.judge(pa.array(clean))[2].any()
+    assert model.judge(pa.array(odd[1:]))[2].all()
+    made_well = langid.Model(idf, centroids[1], ["de"] * len(centroids[1]), np.array(least[len(centroids[0]) :]))
+    assert made_well.judge(pa.array(odd))[2].all()
