@@ -40,11 +40,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def slices(
-    batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES
+    batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES, rows: int = BATCH_ROWS
 ) -> Iterator[pa.RecordBatch]:
-    """Cut and merge batches so that each holds about `limit` bytes of `text`, and one row at least."""
+    """Cut and merge batches so that each holds about `limit` bytes of `text`, at most `rows` rows and at least one."""
     held: list[pa.RecordBatch] = []
-    size = 0
+    size = many = 0
     for batch in batches:
         column = batch.column(text)
         lengths = np.zeros(batch.num_rows, np.int64)
@@ -53,12 +53,13 @@ def slices(
             lengths = np.diff(ends)
         start = 0
         for i, n in enumerate(lengths.tolist()):
-            if size + n > limit and (held or i > start):
+            if (size + n > limit or many == rows) and (held or i > start):
                 if i > start:
                     held.append(batch.slice(start, i - start))
                 yield merged(held)
-                held, size, start = [], 0, i
+                held, size, many, start = [], 0, 0, i
             size += n
+            many += 1
         if batch.num_rows > start:
             held.append(batch.slice(start))
     if held:

@@ -470,3 +470,12 @@ def test_language_id_rejects_foreign_and_noise():
     assert model.judge(pa.array(odd[1:]))[2].all()
     made_well = langid.Model(idf, centroids[1], ["de"] * len(centroids[1]), np.array(least[len(centroids[0]) :]))
     assert made_well.judge(pa.array(odd))[2].all()
+
+
+def test_slices_of_empty_texts_are_bounded():
+    from klaxon.llm.common import BATCH_ROWS, slices
+
+    texts = [None, ""] * 2400 + ["x"] * 150
+    batches = pa.table({"text": pa.array(texts, pa.string())}).to_batches(max_chunksize=700)
+    sizes = [b.num_rows for b in slices(iter(batches), "text")]
+    assert max(sizes) <= BATCH_ROWS and sum(sizes) == len(texts)
