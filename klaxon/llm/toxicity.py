@@ -2,7 +2,7 @@
 
 Words are runs of letters and digits, A-Z folded.  A word's input is its own (hashed)
 embedding and the mean embedding of its character n-grams.  Windows of WINDOW words,
-STRIDE apart and so overlapping, cover the whole text; two recurrent passes run over a window, attention
+STRIDE apart and so overlapping, cover the whole text, each passage of up to STRIDE words in one; two recurrent passes run over a window, attention
 pools their states, and a text has the score of its worst window.
 
 The network is fitted on a bounded sample of labelled rows (SAMPLE and CLEAN_SAMPLE, texts
@@ -29,7 +29,7 @@ from klaxon.llm.common import appended, bytes_of, map_batches, slices, with_colu
 from klaxon.llm.labelled import one_label
 from klaxon.llm.words import MARKED, U, hashes, mix, spans, within
 
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 16
 TABLE_BITS, DIM, HIDDEN, ATTENTION = 15, 8, 8, 8
 GRAM, LEAD = 4, 5
 # Labelled rows with label 1 and 0 that are learned from at most, and the longest text of them.

@@ -479,3 +479,10 @@ def test_slices_of_empty_texts_are_bounded():
     batches = pa.table({"text": pa.array(texts, pa.string())}).to_batches(max_chunksize=700)
     sizes = [b.num_rows for b in slices(iter(batches), "text")]
     assert max(sizes) <= BATCH_ROWS and sum(sizes) == len(texts)
+
+
+def test_toxicity_windows_hold_passages_whole():
+    n = 200
+    first, length, _ = toxicity.Words(pa.array([" ".join(f"w{i}" for i in range(n))])).windows()
+    size = toxicity.WINDOW // 2
+    assert all(any(f <= at and at + size <= f + k for f, k in zip(first, length)) for at in range(n - size + 1))
