@@ -20,10 +20,6 @@ themselves.  An empty table gives an empty result.
 
 from __future__ import annotations
 
-import functools
-import os
-import re
-import struct
 import zlib
 from collections.abc import Iterator
 
@@ -34,11 +30,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from klaxon.llm.bpe import MEMO_CHARS, Memo
-from klaxon.llm.common import map_batches, stored, texts_of
+from klaxon.llm.common import map_batches, slices, stored
+from klaxon.llm.word_ids import word_table
 
 CAPACITY = 2048
 RANK_GROUP = 1000
+TEXT_SLICE = 2 << 20
 # The linear program: rounds at most, configurations used from one round and how near to the
 # best one they must come.
 ROUNDS = 300
@@ -52,58 +49,6 @@ def pace(lengths: int) -> tuple[float, float]:
     return step, min(30.0, 2 / step)
 
 
-# The tokenizer keeps these control characters, though str.split() drops them.
-CONTROL = re.compile("[\x1c-\x1f]")
-WORDS = re.compile("[^ \t\n\r]+").findall
-# Beyond these letters lower-casing early might differ from the tokenizer's own order of steps.
-BEYOND = re.compile("[^\x00-\u012f\u0131-\u017f]")
-# Marks that the tokenizer parts from the letters before them.
-MARKS = frozenset(".,;:!?%$&*#")
-MEMO_WORDS = 400_000
-
-
-class WordIds:
-    """Ids of whole texts, one tokenizer call for the unseen words of a batch.
-
-    For lower-casing tokenizers that drop white space and never look across it.
-    """
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.memo = Memo(lambda word: self.ids_of([word])[0], MEMO_WORDS)
-
-    def ids_of(self, words: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (x.ids for x in found)]
-
-    def learn(self, words: set[str]) -> None:
-        memo = self.memo
-        unseen = [w for w in words if w not in memo and len(w) <= MEMO_CHARS]
-        marked = [w for w in unseen if w[-1] in MARKS and w[:-1].isalpha() and not BEYOND.search(w)]
-        wanted = set(unseen).difference(marked).union(w[:-1] for w in marked)
-        asked = [w for w in wanted if w not in memo]
-        for word, ids in zip(asked, self.ids_of(asked) if asked else []):
-            memo.put(word, ids)
-        for word in marked:
-            memo.put(word, memo[word[:-1]] + memo[word[-1]])
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [t if BEYOND.search(t) else t.lower() for t in texts]
-        split = [WORDS(t) if CONTROL.search(t) else t.split() for t in plain]
-        self.learn(set().union(*split))
-        return [b"".join(map(self.memo.__getitem__, words)) for words in split]
-
-
-@functools.lru_cache(maxsize=2)
-def word_ids(path: str) -> WordIds:
-    return WordIds(path)
-
-
 PIECES = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
@@ -130,20 +75,22 @@ def pieces_of(
     width, end = 4 * capacity, np.array([end_id], "<u4").tobytes()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = word_ids(path)
-        for batch in batches:
+        table = word_table(path)
+        for batch in slices(batches, "_text", TEXT_SLICE):
+            ids, ends = table.encode(batch.column("_text"))
             rows: list[list] = [[] for _ in schema.names]
-            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts_of(batch.column(1)))):
-                ids += end
-                for at in range(0, len(ids), width):
-                    part = ids[at : at + width]
+            for i, doc in enumerate(batch.column("_doc").to_pylist()):
+                body = ids[ends[i] : ends[i + 1]].tobytes() + end
+                for at in range(0, len(body), width):
+                    part = body[at : at + width]
                     values = (doc, at // width, at // 4, len(part) // 4, zlib.crc32(part), part)
                     for column, value in zip(rows, values):
                         column.append(value)
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names=schema.names)
 
-    return map_batches(df.select(F.col(id_col).cast("long"), text_col), work, schema)
+    held = df.select(F.col(id_col).cast("long").alias("_doc"), F.col(text_col).alias("_text"))
+    return held.mapInArrow(work, schema)
 
 
 # -- the plan, from the counts alone ---------------------------------------------------------
