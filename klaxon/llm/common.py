@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from klaxon.session import fresh_path
+from klaxon.session import configure, fresh_path
 
 # Rows of one Arrow batch.  Python works on slices of about SLICE_BYTES of text.
 BATCH_ROWS = 1000
@@ -22,6 +24,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def shipped(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """`query` (session first) with the package sent to the Python workers and its settings made first."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, *args):
+        return query(configure(spark), *args)
+
+    return run
+
+
 def fold(id_col: str = "doc_id", folds: int = 5) -> Column:
     """crc32 of the id written as text, modulo `folds`; a null id is written as ''."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds
@@ -90,12 +102,26 @@ def texts_of(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def release() -> None:
+    """Give freed memory back to the machine: workers are reused, and the next stage's heap comes on top."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
 def map_batches(
     df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str
 ) -> DataFrame:
     """mapInArrow with batches small enough for whole long texts."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(work, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        release()
+
+    return df.mapInArrow(run, schema)
 
 
 def appended(df: DataFrame, fields: list[T.StructField]) -> T.StructType:

@@ -35,7 +35,7 @@ from klaxon.llm.word_ids import word_table
 
 CAPACITY = 2048
 RANK_GROUP = 1000
-TEXT_SLICE = 2 << 20
+TEXT_SLICE = 4 << 20
 # The linear program: rounds at most, configurations used from one round and how near to the
 # best one they must come.
 ROUNDS = 300

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from klaxon.llm import langid, merkle, quality, toxicity
 from klaxon.llm.bpe import encode_documents
-from klaxon.llm.common import fold, table
+from klaxon.llm.common import fold, shipped, table
 from klaxon.llm.context_tree import score_texts
 from klaxon.llm.exact_dedup import mark_duplicates
 from klaxon.llm.fingerprints import compare_edited
@@ -115,6 +115,7 @@ QUERIES = {
     "op12_phrases": op12_phrases,
     "op13_token_files": op13_token_files,
 }
+QUERIES = {name: shipped(query) for name, query in QUERIES.items()}
 
 def leaf_sql(n_chars: str) -> str:
     fields = ("doc_id", "source", "lang", n_chars, "text")

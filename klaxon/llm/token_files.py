@@ -50,7 +50,7 @@ from klaxon.llm.word_ids import word_table
 
 FRAME_IDS = 65_536
 LEVEL = 3
-TEXT_SLICE = 2 << 20
+TEXT_SLICE = 4 << 20
 
 # Fixed values of the public formats.
 SKIPPABLE_INDEX = 0x184D2A51

@@ -6,8 +6,8 @@ words so found, the tokenizer sees the ones it has not met, and numpy strings th
 together.  A cut that is left out costs time only, so doubtful places (beyond ASCII, close to
 the parts of an added token) are not cut.
 
-Words and their ids are kept in a table of at most TABLE_BYTES; when that is full, the words of
-the batch at work stay.  Very long words are not kept.
+Words and their ids are kept in a table of about TABLE_BYTES; when that is full, the words that
+came again stay.  Very long words are not kept.
 """
 
 from __future__ import annotations
@@ -107,6 +107,8 @@ class WordTable:
         self.words = pa.array([], pa.large_binary())
         self.starts = np.zeros(1, np.int64)
         self.ids = np.zeros(0, "<u4")
+        # Which words came again after they were learnt.
+        self.again = np.zeros(0, bool)
 
     def asked(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids one after the other, how many of each word) straight from the tokenizer."""
@@ -118,19 +120,30 @@ class WordTable:
         self.words = pa.concat_arrays([self.words, words])
         self.ids = np.concatenate([self.ids, ids])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts)])
+        self.again = np.concatenate([self.again, np.zeros(len(words), bool)])
+
+    def shrink(self) -> None:
+        """Keep the words that came again since they were learnt; none if these fill half the table."""
+        keep = np.flatnonzero(self.again)
+        ids, ends = self.strung(keep, np.arange(len(keep) + 1))
+        words = self.words.take(pa.array(keep))
+        self.clear()
+        if words.nbytes + ids.nbytes + ends.nbytes <= self.limit // 2:
+            self.add(words, ids, np.diff(ends))
 
     def learn(self, words: pa.Array) -> np.ndarray:
         """Places in the table of distinct words, all of which it holds afterwards."""
-        place = pc.index_in(words, value_set=self.words)
-        unseen = place.is_null()
-        if pc.any(unseen).as_py():
-            if self.words.nbytes + self.ids.nbytes + self.starts.nbytes > self.limit:
-                self.clear()
-                unseen = pa.array(np.ones(len(words), bool))
-            new = words.filter(unseen)
+        if self.words.nbytes + self.ids.nbytes + self.starts.nbytes > self.limit:
+            self.shrink()
+        found = pc.index_in(words, value_set=self.words)
+        place = found.fill_null(-1).to_numpy().astype(np.int64)
+        unseen = place < 0
+        self.again[place[~unseen]] = True
+        if unseen.any():
+            place[unseen] = len(self.words) + np.arange(np.count_nonzero(unseen))
+            new = words.filter(pa.array(unseen))
             self.add(new, *self.asked(new.to_pylist()))
-            place = pc.index_in(words, value_set=self.words)
-        return place.to_numpy(zero_copy_only=False).astype(np.int64)
+        return place
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets of each text's ids) of a column of texts; a null is empty."""
