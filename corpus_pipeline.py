@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from klaxon.llm import exact_dedup, langid, near_dedup, packing, toxicity
-from klaxon.llm.common import fold, stored, table
+from klaxon.llm.common import fold, shipped, stored, table
 
 TOXIC = 0.5
 
@@ -53,11 +53,11 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("language_id", drop_unknown_language),
-    ("exact_dedup", drop_copies),
-    ("near_dedup", drop_near_copies),
-    ("packing", pack_sequences),
+    ("toxicity", shipped(drop_toxic)),
+    ("language_id", shipped(drop_unknown_language)),
+    ("exact_dedup", shipped(drop_copies)),
+    ("near_dedup", shipped(drop_near_copies)),
+    ("packing", shipped(pack_sequences)),
 ]
 
 
