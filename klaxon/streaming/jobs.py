@@ -2,13 +2,15 @@
 
 Each job is its own query with its own checkpoint, so the consumers of a log do not wait
 for each other.  A job with several outputs writes them per micro-batch under (`run_id`,
-`batch_id`) partitions that a replay overwrites and another checkpoint adds to; ids are hashes of content, so a replayed batch gives
-the same rows.  Dimension and subscription tables are read anew for every micro-batch.
+`batch_id`) partitions and commits each when it is whole; another checkpoint adds to them.  The
+next job reads committed batches, so a replay gives it nothing twice (`sources/commits.py`).  Ids
+are hashes of content, so a replayed batch has the same rows.  Dimension and subscription tables
+are read anew for every micro-batch.
 """
 
 from __future__ import annotations
 
-import hashlib
+import json
 from collections.abc import Callable
 from typing import NamedTuple
 
@@ -20,7 +22,7 @@ from klaxon.operators import delivery, history, matching, regions
 from klaxon.operators.debounce import DEBOUNCE_TTL_MS
 from klaxon.operators.spikes import COOLDOWN_MS, THRESHOLD, WINDOW_MS
 from klaxon.schemas import ALERT_EVENT, ALERT_JSON, ANOMALY_JSON
-from klaxon.sources import feeds, logs
+from klaxon.sources import commits, feeds, logs
 from klaxon.streaming import stateful
 
 Table = Callable[[], DataFrame]
@@ -33,12 +35,16 @@ class Batch(NamedTuple):
     number: int
 
 
-def run_of(checkpoint: str) -> str:
-    return hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
+def run_of(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark gave the query of this checkpoint: a new checkpoint at an old path is a new run."""
+    metadata = spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()[0]
+    return json.loads(metadata)["id"]
 
 
 def overwrite_batch(rows: DataFrame, path: str, batch: Batch, *partitions: str) -> None:
-    """Write one micro-batch's rows; running it again in its run replaces them."""
+    """Write and commit one micro-batch's rows, once in its run; what an attempt left is replaced."""
+    if commits.is_committed(path, batch.run_id, batch.number):
+        return
     (
         rows.withColumn("run_id", F.lit(batch.run_id))
         .withColumn("batch_id", F.lit(batch.number))
@@ -48,15 +54,14 @@ def overwrite_batch(rows: DataFrame, path: str, batch: Batch, *partitions: str)
         .partitionBy("run_id", "batch_id", *partitions)
         .parquet(path)
     )
+    commits.commit_batch(path, batch.run_id, batch.number)
 
 
 def _start(
     stream: DataFrame, work, checkpoint: str, name: str, once: bool, run_id: str | None = None
 ) -> StreamingQuery:
-    run = run_id or run_of(checkpoint)
-
     def batch(rows: DataFrame, number: int) -> None:
-        batch_id = Batch(run, number)
+        batch_id = Batch(run_id or run_of(rows.sparkSession, checkpoint), number)
         rows.persist()
         try:
             work(rows, batch_id)
@@ -220,6 +225,7 @@ def deliver(
 
 
 def read_batches(spark: SparkSession, path: str, schema, streaming: bool = False) -> DataFrame:
-    """A table written by `overwrite_batch`."""
-    reader = spark.readStream if streaming else spark.read
-    return reader.schema(schema).parquet(path).select(*schema.names)
+    """A table written by `overwrite_batch`: as it stands, or its committed batches as a stream."""
+    if streaming:
+        return commits.read_committed(spark, path, schema)
+    return spark.read.schema(schema).parquet(path).select(*schema.names)
