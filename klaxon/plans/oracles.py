@@ -338,6 +338,53 @@ def _filled() -> str:
 
 ORACLES: dict[str, str] = {
     # sources and sinks
+    # streams
+    "stream_late_rows": _sql(
+        """SELECT FALSE AS late, region_id, event_id, n FROM fired
+           UNION ALL SELECT TRUE, region_id, event_id, 0 FROM all_alerts WHERE num % 37 = 0""",
+        "typed",
+        "mapped",
+        all_alerts=VIEWS["alerts"],
+        alerts="SELECT * FROM all_alerts WHERE num % 37 <> 0",
+        **_spikes(*_BIG),
+    ),
+    "stream_debounce_with_clear": _sql(
+        f"SELECT FALSE AS late, event_id FROM ({_passed('since', 'region_id, event_type, freed')})",
+        "alerts",
+        since="""SELECT a.*, coalesce((SELECT max(e.ms) FROM alerts e WHERE e.num % 11 = 0
+                AND e.region_id = a.region_id AND e.event_type = a.event_type AND e.ms <= a.ms), 0) AS freed
+            FROM alerts a WHERE a.num % 11 <> 0""",
+        **_chain("since", "region_id, event_type, freed", 12 * HOUR),
+    ),
+    "stream_snapshot_filter": _sql(
+        """SELECT FALSE AS late, feed, seq FROM (SELECT *, last_value(version IGNORE NULLS) OVER (
+                PARTITION BY feed ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM polls)
+           WHERE version IS NULL OR before IS NULL OR version <> before""",
+        "polls",
+    ),
+    "stream_discovery": _sql(
+        "SELECT raw_title, CAST(occurrences_count AS BIGINT) AS occurrences_count FROM unrecognized", "unrecognized"
+    ),
+    "stream_pipeline": _sql(
+        f"""SELECT p.event_id, a.region_id, CAST(count(t.task_id) AS BIGINT) AS tasks
+            FROM ({_passed('alerts', 'region_id, event_type')}) p JOIN alerts a ON a.event_id = p.event_id
+            LEFT JOIN tasks t ON t.event_id = p.event_id GROUP BY ALL""",
+        "tasks",
+        **_chain("alerts", "region_id, event_type", 12 * HOUR),
+    ),
+    "snapshot_quarantine": _sql(
+        """SELECT 'alert' AS kind, CAST(id AS VARCHAR) AS what FROM raw_alerts WHERE (id // 20) % 7 <> 3
+           UNION ALL SELECT DISTINCT 'unreadable', '{"alerts":[{"id":' || (id // 20) FROM raw_alerts WHERE (id // 20) % 7 = 3""",
+        "raw_alerts",
+    ),
+    "spikes_of_torn_rows": _sql(
+        "SELECT region_id, event_id, CAST(n AS INTEGER) AS n FROM fired",
+        "typed",
+        "mapped",
+        all_alerts=VIEWS["alerts"],
+        alerts="SELECT * FROM all_alerts WHERE num % 13 <> 0",
+        **_spikes(*_BIG),
+    ),
     "snapshot_explode": _sql("SELECT id, location_title, alert_type FROM raw_alerts", "raw_alerts"),
     "snapshot_change_filter": _sql(
         """SELECT feed, seq FROM (SELECT *, last_value(version IGNORE NULLS) OVER (

@@ -24,7 +24,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 SOURCE = "committed_batches"
 COMMITS = "_commits"
@@ -62,16 +62,19 @@ class Committed:
         self.path = path
         self.next = 0
         self.batches: set[tuple[str, int]] = set()
+        # Runs in the order of their first commits.
+        self.runs: dict[str, int] = {}
         self.refresh()
 
     def refresh(self) -> None:
         numbers = commit_numbers(self.path)
         if (numbers[-1] + 1 if numbers else 0) < self.next:  # the table has been made anew
-            self.next, self.batches = 0, set()
+            self.next, self.batches, self.runs = 0, set(), {}
         for number in numbers:
             if number >= self.next:
                 found = read_commit(self.path, number)
                 self.batches.add((found["run_id"], found["batch_id"]))
+                self.runs.setdefault(found["run_id"], len(self.runs))
                 self.next = number + 1
 
 
@@ -85,6 +88,22 @@ def is_committed(path: str, run_id: str, batch_id: int) -> bool:
     return (run_id, batch_id) in known.batches
 
 
+def run_number(path: str, run_id: str) -> int:
+    """A run's place among the runs of a table; a run without a commit comes after all others."""
+    known = _KNOWN.setdefault(path, Committed(path))
+    known.refresh()
+    return known.runs.get(run_id, len(known.runs))
+
+
+def committed_files(path: str, start: int, end: int) -> list[str]:
+    """The data files of commits `start` to `end` (not included)."""
+    found = []
+    for number in commit_numbers(path):
+        if start <= number < end:
+            found += [posixpath.join(path, f) for f in read_commit(path, number)["files"]]
+    return found
+
+
 def commit_batch(path: str, run_id: str, batch_id: int) -> None:
     """Commit what lies in the batch's folder.  Called on the driver after the write has ended.
 
@@ -175,4 +194,6 @@ class CommittedBatches(DataSource):
 def read_committed(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """A stream of the committed batches of the table at `path`, each once."""
     spark.dataSource.register(CommittedBatches)
+    # Files hold what was written: a column may be null there whatever the plan of its writer said.
+    schema = StructType([StructField(f.name, f.dataType, True) for f in schema.fields])
     return spark.readStream.format(SOURCE).schema(schema).option("path", path).load()

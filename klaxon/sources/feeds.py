@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from klaxon.functions import columns as C
 from klaxon.operators.regions import normalize_regions
@@ -17,10 +18,33 @@ FEED_ID_PREFIX = "alerts-in-ua-"
 POLLS_PER_SLOT = 100_000
 
 
-def read_snapshots(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
-    """Files of one JSON snapshot per line, one row per alert.  Unknown fields are ignored."""
+_BROKEN = "_broken"
+
+
+def read_snapshot_lines(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
+    """Files of one JSON snapshot per line, one row per line: `text`, `source_file` and what it holds.
+
+    Unknown fields are ignored, blank lines are none.  `unreadable` tells the lines that are no
+    snapshot.
+    """
     reader = spark.readStream if streaming else spark.read
-    return explode_alerts(reader.schema(SNAPSHOT).json(path))
+    lines = reader.text(path).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("source_file"))
+    tolerant = StructType([*SNAPSHOT.fields, StructField(_BROKEN, StringType(), True)])
+    body = F.from_json("text", tolerant, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BROKEN})
+    read = lines.filter(~C.is_blank("text")).withColumn("_body", body)
+    unreadable = F.col("_body").isNull() | F.col(f"_body.{_BROKEN}").isNotNull()
+    return read.select("text", "source_file", unreadable.alias("unreadable"), *(f"_body.{c}" for c in SNAPSHOT.names))
+
+
+def split_unreadable(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(snapshots, quarantine: source_file, text) of `read_snapshot_lines`; neither stops the feed."""
+    good = lines.filter("not unreadable").select(*SNAPSHOT.names)
+    return good, lines.filter("unreadable").select("source_file", "text")
+
+
+def read_snapshots(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
+    """Files of one JSON snapshot per line, one row per alert.  `split_unreadable` has the other lines."""
+    return explode_alerts(split_unreadable(read_snapshot_lines(spark, path, streaming))[0])
 
 
 def decode_snapshots(stored: DataFrame, payload: str = "payload") -> DataFrame:

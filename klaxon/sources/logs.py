@@ -130,19 +130,24 @@ def _encoded(rows: DataFrame, body) -> DataFrame:
     return rows.select(*lineage, F.col("region_id").alias("key"), F.to_json(body, _WRITE).alias("value"))
 
 
+# An offset is run, batch and rank: bits of the last two.
+BATCH_BITS, RANK_BITS = 24, 28
+
+
 def as_log_records(
-    encoded: DataFrame, topic: str, partitions: int = LOG_PARTITIONS, batch_id: int | None = None
+    encoded: DataFrame, topic: str, partitions: int = LOG_PARTITIONS, batch_id: int | None = None, run: int = 0
 ) -> DataFrame:
     """Give encoded rows the lineage columns of a log file; existing ones are kept.
 
-    With a `batch_id` rows without an offset get one that a replay of the batch gives again:
-    the batch in the upper 32 bits, the rank by content in the log partition below.
+    With a `batch_id` rows without an offset get one that a replay of the batch gives again: the
+    number of the run in the upper bits, then the batch, then a rank that rises with event time
+    within a region.
     """
     have = set(encoded.columns)
     partition = F.pmod(F.xxhash64("key"), F.lit(partitions)).cast("int")
     if batch_id is not None and "offset" not in have:
         placed = encoded if "partition" in have else encoded.withColumn("partition", partition)
-        return as_log_records(_with_offsets(placed, batch_id), topic, partitions)
+        return as_log_records(_with_offsets(placed, run, batch_id), topic, partitions)
     return encoded.select(
         (F.col("topic") if "topic" in have else F.lit(topic)).alias("topic"),
         (F.col("partition") if "partition" in have else partition).alias("partition"),
@@ -152,18 +157,27 @@ def as_log_records(
     )
 
 
-def _with_offsets(placed: DataFrame, batch_id: int, slots: int = 64) -> DataFrame:
-    """Ranks from 0 in each log partition, worked out in slots of the content hash."""
-    content = F.xxhash64("key", "value")
-    slotted = placed.withColumn("_hash", content).withColumn("_slot", F.pmod(content, F.lit(slots)))
-    before = Window.partitionBy("partition").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    bases = slotted.groupBy("partition", "_slot").count().select(
-        "partition", "_slot", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base")
+def _with_offsets(placed: DataFrame, run: int, batch_id: int) -> DataFrame:
+    """Ranks from 0 in each log partition by region, event time and content.
+
+    Rows are ranked within (region, hour), where a rank starts from the sum of the hours before;
+    the counts of these are all that a partition brings together.
+    """
+    at = F.coalesce(F.get_json_object("value", "$.timestamp"), F.get_json_object("value", "$.detectedAt"), F.lit(""))
+    slot = ["partition", "key", "_hour"]
+    timed = placed.withColumn("_at", at).withColumn("_hour", F.substring("_at", 1, 13))
+    before = Window.partitionBy("partition").orderBy("key", "_hour").rowsBetween(Window.unboundedPreceding, -1)
+    bases = timed.groupBy(*slot).count().select(
+        *(F.col(c).alias(f"_of{c}") for c in slot), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base")
     )
-    own = Window.partitionBy("partition", "_slot").orderBy("_hash", "key", "value")
-    offset = F.shiftleft(F.lit(batch_id).cast("long"), 32) + F.col("_base") + F.col("_nth") - 1
-    ranked = slotted.withColumn("_nth", F.row_number().over(own)).join(bases, ["partition", "_slot"])
-    return ranked.withColumn("offset", offset).drop("_hash", "_slot", "_base", "_nth")
+    same = F.lit(True)
+    for c in slot:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of{c}"))
+    own = Window.partitionBy(*slot).orderBy("_at", "value")
+    first = (run << (BATCH_BITS + RANK_BITS)) + (batch_id << RANK_BITS)
+    ranked = timed.withColumn("_nth", F.row_number().over(own)).join(bases, same)
+    offset = F.lit(first).cast("long") + F.col("_base") + F.col("_nth") - 1
+    return ranked.withColumn("offset", offset).select(*placed.columns, "offset")
 
 
 def write_log_files(encoded: DataFrame, path: str, topic: str, mode: str = "append") -> None:

@@ -21,8 +21,9 @@ from pyspark.sql.streaming import StreamingQuery
 from klaxon.operators import delivery, history, matching, regions
 from klaxon.operators.debounce import DEBOUNCE_TTL_MS
 from klaxon.operators.spikes import COOLDOWN_MS, THRESHOLD, WINDOW_MS
-from klaxon.schemas import ALERT_EVENT, ALERT_JSON, ANOMALY_JSON
+from klaxon.schemas import ALERT_EVENT, ALERT_JSON, ANOMALY_JSON, UNRECOGNIZED_LOCATION
 from klaxon.sources import commits, feeds, logs
+from klaxon.streaming import ordered as in_order
 from klaxon.streaming import stateful
 
 Table = Callable[[], DataFrame]
@@ -105,18 +106,33 @@ def debounced_log(
     ttl_ms: int = DEBOUNCE_TTL_MS,
     delay_ms: int = stateful.DELAY_MS,
     once: bool = True,
+    ordered: bool = False,
+    ended: DataFrame | None = None,
+    slot_ms: int = in_order.SLOT_MS,
 ) -> StreamingQuery:
-    """Polled events through the debounce into the alert log; late ones aside."""
+    """Polled events through the debounce into the alert log; late ones aside.
+
+    With `ordered` rows wait for the watermark and are judged in order of event time; `ended`
+    (region_id, event_type, event_timestamp) is then a stream of where alerts have ended.
+    """
 
     def work(rows: DataFrame, batch_id: Batch) -> None:
         on_time, late = _split_late(rows)
-        overwrite_batch(logs.as_log_records(logs.encode_alerts(on_time), logs.RAW_ALERTS, batch_id=batch_id.number), log_path, batch_id)
+        overwrite_batch(_log_records(logs.encode_alerts(on_time), logs.RAW_ALERTS, log_path, batch_id), log_path, batch_id)
         overwrite_batch(late, late_path, batch_id)
 
-    judged = stateful.debounce_stream(events, ttl_ms, delay_ms, keep_late=True)
+    if ordered:
+        judged = in_order.ordered_debounce_stream(events, ttl_ms, ended, delay_ms, slot_ms).drop("ended")
+    else:
+        judged = stateful.debounce_stream(events, ttl_ms, delay_ms, keep_late=True)
     return _start(judged, work, checkpoint, "debounced_log", once)
 
 
+def _log_records(encoded: DataFrame, topic: str, log_path: str, batch: Batch) -> DataFrame:
+    run = commits.run_number(log_path, batch.run_id)
+    return logs.as_log_records(encoded, topic, batch_id=batch.number, run=run)
+
+
 def _split_late(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.filter(~F.col("late")).drop("late"), rows.filter("late").drop("late")
 
@@ -166,16 +182,27 @@ def analyse(
     cooldown_ms: int = COOLDOWN_MS,
     delay_ms: int = stateful.DELAY_MS,
     once: bool = True,
+    late_path: str | None = None,
 ) -> StreamingQuery:
-    """Alert log to anomalies.  They are published first: a failing archive cannot hold them back."""
-    anomalies = stateful.spikes_stream(logs.decode_alerts(log), window_ms, threshold, cooldown_ms, delay_ms)
+    """Alert log to anomalies.  They are published first: a failing archive cannot hold them back.
+
+    With `late_path` rows are judged in order of event time, and those that come too late for it
+    are written there.
+    """
+    alerts = logs.decode_alerts(log)
+    config = (window_ms, threshold, cooldown_ms, delay_ms)
+    spikes = stateful.spikes_stream(alerts, *config) if late_path is None else in_order.ordered_spikes_stream(alerts, *config)
 
     def work(rows: DataFrame, batch_id: Batch) -> None:
-        records = logs.as_log_records(logs.encode_anomalies(rows), logs.ANOMALIES, batch_id=batch_id.number)
+        if late_path is not None:
+            rows, late = in_order.split_spikes(rows, window_ms, threshold)
+        records = _log_records(logs.encode_anomalies(rows), logs.ANOMALIES, anomaly_log_path, batch_id)
         overwrite_batch(records, anomaly_log_path, batch_id)
         history.write_days(rows, history_path, "detected_at", batch_id=batch_id.number, run_id=batch_id.run_id)
+        if late_path is not None:
+            overwrite_batch(late, late_path, batch_id)
 
-    return _start(anomalies, work, checkpoint, "analyse", once)
+    return _start(spikes, work, checkpoint, "analyse", once)
 
 
 def dispatch_anomalies(
@@ -224,6 +251,50 @@ def deliver(
     return _start(stateful.dedup_stream(tasks, keep_late=True), work, checkpoint, "deliver", once)
 
 
+FOLD = "fold"
+
+
+def fold_discovery(spark: SparkSession, found_path: str, totals_path: str) -> int:
+    """Fold what `intake` found since the last fold into the title statistics; how many commits are in.
+
+    The totals are committed as batch n once the first n commits of `found_path` are in them, so
+    a repeat after a failure counts nothing twice.  Only new commits and the last totals are read.
+    """
+    done = _folded(totals_path)
+    numbers = commits.commit_numbers(found_path)
+    upto = numbers[-1] + 1 if numbers else 0
+    if upto > done:
+        files = commits.committed_files(found_path, done, upto)
+        fresh = spark.read.schema(UNRECOGNIZED_LOCATION).parquet(*files) if files else None
+        totals = read_totals(spark, totals_path)
+        merged = totals if fresh is None else regions.merge_unrecognized(totals, _one_per_title(fresh))
+        overwrite_batch(merged.select(*UNRECOGNIZED_LOCATION.names), totals_path, Batch(FOLD, upto))
+    return upto
+
+
+def _one_per_title(found: DataFrame) -> DataFrame:
+    """The rows of several micro-batches as one per title."""
+    return found.groupBy("id", "raw_title").agg(
+        F.sum("occurrences_count").alias("occurrences_count"),
+        F.min("first_seen_at").alias("first_seen_at"),
+        F.max("last_seen_at").alias("last_seen_at"),
+    )
+
+
+def _folded(totals_path: str) -> int:
+    numbers = commits.commit_numbers(totals_path)
+    return commits.read_commit(totals_path, numbers[-1])["batch_id"] if numbers else 0
+
+
+def read_totals(spark: SparkSession, totals_path: str) -> DataFrame:
+    """The title statistics as last folded."""
+    numbers = commits.commit_numbers(totals_path)
+    files = commits.committed_files(totals_path, numbers[-1], numbers[-1] + 1) if numbers else []
+    if not files:
+        return spark.createDataFrame([], UNRECOGNIZED_LOCATION)
+    return spark.read.schema(UNRECOGNIZED_LOCATION).parquet(*files)
+
+
 def read_batches(spark: SparkSession, path: str, schema, streaming: bool = False) -> DataFrame:
     """A table written by `overwrite_batch`: as it stands, or its committed batches as a stream."""
     if streaming:

@@ -173,6 +173,92 @@ def ordered_debounce_stream(
     )
 
 
+# -- snapshots -------------------------------------------------------------------------------
+
+
+class ChangedPolls(StatefulProcessor):
+    """Polls of one feed in the order of their numbers; drops one whose version is the last known.
+
+    A poll goes on at once if it is the successor of the last one.  Else it waits: for its
+    predecessor, or until the watermark has passed it.
+    """
+
+    def __init__(self, seq: str, version: str, columns: list[str]):
+        self.seq, self.version, self.columns = seq, version, columns
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "seq long, version string")
+        self.waiting = handle.getMapState("waiting", "seq long", "at_ms long, polls binary")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows), ignore_index=True)
+        done = self.last.get()[0] if self.last.exists() else None
+        late = frame[self.seq] <= done if done is not None else pd.Series(False, frame.index)
+        if late.any():
+            yield frame[late].assign(late=True)[self.columns]
+        for seq, part in frame[~late].groupby(self.seq):
+            at = int(part["at_ms"].max())
+            if self.waiting.containsKey((int(seq),)):
+                before, held = self.waiting.getValue((int(seq),))
+                part, at = pd.concat([unpack([held]), part], ignore_index=True), max(at, before)
+            self.waiting.updateValue((int(seq),), (at, pack(part)))
+        yield from self.released(timerValues.getCurrentWatermarkInMs())
+        for (_,), (at, _) in self.waiting.iterator():
+            self.handle.registerTimer(max(at, timerValues.getCurrentWatermarkInMs()) + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self.released(timerValues.getCurrentWatermarkInMs())
+
+    def released(self, now: int) -> Iterator[pd.DataFrame]:
+        held = {seq: at for (seq,), (at, _) in self.waiting.iterator()}
+        # All up to the newest poll that the watermark has passed go on, gaps or not.
+        passed = max((seq for seq, at in held.items() if at < now), default=None)
+        last, known = self.last.get() if self.last.exists() else (None, None)
+        before = last
+        for seq in sorted(held):
+            if not (last is not None and seq == last + 1) and (passed is None or seq > passed):
+                break
+            polls = unpack([self.waiting.getValue((seq,))[1]])
+            self.waiting.removeKey((seq,))
+            version = polls[self.version]
+            blank = version.isna() | (version.fillna("").str.strip() == "")
+            kept = polls if known is None else polls[blank | (version != known)]
+            if len(kept):
+                yield kept.assign(late=False)[self.columns]
+            known = version[~blank].max() if (~blank).any() else known
+            last = seq
+        if last != before:
+            self.last.update((last, known))
+
+    def close(self) -> None:
+        pass
+
+
+def changed_snapshots_stream(
+    polls: DataFrame,
+    time: str,
+    feed: str = "feed",
+    seq: str = "seq",
+    version: str = "last_modified",
+    delay_ms: int = DELAY_MS,
+) -> DataFrame:
+    """Streaming ``drop_unchanged_snapshots``: whole polls with `late`.
+
+    Poll numbers of a feed are consecutive; one that is missing holds up those after it until the
+    watermark on `time` has passed them.  A poll that comes after its successors went on is late.
+    The column names late and at_ms are taken.
+    """
+    named = polls.filter(F.col(feed).isNotNull() & F.col(seq).isNotNull() & F.col(time).isNotNull())
+    timed = named.withColumn("at_ms", F.unix_millis(time)).withColumn(seq, F.col(seq).cast("long"))
+    thin = timed.withWatermark(time, f"{delay_ms} milliseconds").mapInArrow(lambda b: b, timed.schema)
+    shape = StructType([*timed.schema.fields, StructField("late", BooleanType())])
+    filtered = thin.groupBy(feed).transformWithStateInPandas(
+        ChangedPolls(seq, version, shape.names), shape, "Append", "EventTime"
+    )
+    return filtered.drop("at_ms")
+
+
 # -- spikes ----------------------------------------------------------------------------------
 
 COUNTED = StructType(
@@ -235,8 +321,8 @@ class SlotSpikes(StatefulProcessor):
     The window lies in state as slots of its own width, so a micro-batch writes the newest only.
     """
 
-    def __init__(self, window_ms: int, threshold: int, cooldown_ms: int):
-        self.window, self.threshold, self.cooldown = window_ms, threshold, cooldown_ms
+    def __init__(self, window_ms: int, threshold: int, cooldown_ms: int, slot_ms: int):
+        self.window, self.threshold, self.cooldown, self.behind = window_ms, threshold, cooldown_ms, slot_ms
         self.width = max(1000, window_ms // 32)
 
     def init(self, handle) -> None:
@@ -280,7 +366,7 @@ class SlotSpikes(StatefulProcessor):
         if found:
             self.fired.update((last,))
             yield pd.DataFrame(found, columns=FOUND.names)
-        self.handle.registerTimer(max(int(ms[-1]), last or 0) + self.window + self.cooldown + 1)
+        self.handle.registerTimer(max(int(ms[-1]), last or 0) + self.window + self.cooldown + self.behind + 1)
 
     def store(self, starts, kept, all_ms, all_many, ms) -> None:
         """Write the slots that got rows, drop those that no later window reaches."""
@@ -294,7 +380,8 @@ class SlotSpikes(StatefulProcessor):
                 self.live.updateValue((s,), (all_ms[own].tobytes(), all_many[own].tobytes()))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs()
+        # A slot that the watermark has not passed may begin before it by the slot's length.
+        now = timerValues.getCurrentWatermarkInMs() - self.behind
         for s in sorted(s for (s,) in self.live.keys()):
             if s + self.width + self.window < now:
                 self.live.removeKey((s,))
@@ -338,7 +425,7 @@ def ordered_spikes_stream(
         SlotCounter(slot_ms, threshold), COUNTED, "Append", "EventTime", eventTimeColumnName="at"
     )
     return counted.groupBy("region_id").transformWithStateInPandas(
-        SlotSpikes(window_ms, threshold, cooldown_ms), FOUND, "Append", "EventTime"
+        SlotSpikes(window_ms, threshold, cooldown_ms, slot_ms), FOUND, "Append", "EventTime"
     )
 
 

@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__ as driver
 from klaxon.plans.oracles import ORACLES
-from klaxon.plans.queries import QUERIES
+from klaxon.plans.streams import QUERIES
 from tests.compare import connect, difference
 
 FOLDER = "/root/testdata/sf0.001"
