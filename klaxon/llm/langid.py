@@ -6,8 +6,10 @@ centroids are clusters (spherical k-means) of a bounded sample of each language.
 the language of the centroid nearest by cosine; it is rejected where it is less similar to it
 than REJECT times a low quantile of that centroid's own sampled texts.
 
-Nulls and texts without a letter are `und` with score 0, and rejected.  A null language is not
-learned from; without any language all texts are `und`.  Repeated rows are judged each.
+Nulls, empty texts and texts without a letter are `und` with score 0, and rejected.  A null
+language is not learned from; without any language all texts are `und`, and an empty table gives
+an empty result.  Of equally near centroids the first language by name is taken.  Very long texts
+are judged whole, repeated rows each.  Input columns named as the results are replaced by them.
 """
 
 from __future__ import annotations
@@ -143,6 +145,26 @@ class Model:
         return names, near, far
 
 
+def sampled(known: DataFrame) -> DataFrame:
+    """lang, text of at most SAMPLE rows: the smallest ids by hash of each language.
+
+    A bound on the hash, from the language's count, leaves about twice the wanted rows to be ranked;
+    rows of one id (or of none) share a hash, tasks keep no more of them than are wanted.  Of more
+    than SAMPLE languages the most frequent are sampled.
+    """
+    sizes = known.groupBy("lang").agg(F.count("*").alias("_rows"))
+    kept = sizes.orderBy(F.desc("_rows"), "lang").limit(SAMPLE)
+    languages = kept.count()
+    each = max(1, min(SAMPLE_PER_LANGUAGE, SAMPLE // max(1, languages)))
+    share = F.lit(2.0 * each + 50) / F.col("_rows")
+    bound = F.when(share >= 1, F.lit(2**63 - 1)).otherwise(((share - 0.5) * 2.0**64).cast("long"))
+    near = known.join(F.broadcast(kept.select("lang", bound.alias("_bound"))), "lang").filter(
+        F.xxhash64("_id") <= F.col("_bound")
+    )
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("_id"), "_id", F.xxhash64("text"))
+    return near.withColumn("_nth", F.row_number().over(order)).filter(F.col("_nth") <= each).select("lang", "text")
+
+
 def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
     """A model of the rows of `df` whose language is known."""
     known = df.filter(F.col(lang_col).isNotNull()).select(
@@ -150,39 +172,34 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: s
     )
     seen, texts = document_frequencies(known.select("text"))
     idf = np.log((1 + texts) / (1 + seen)).astype(np.float32) + np.float32(1)
-    languages = known.select("lang").distinct().count()
-    per_language = max(1, min(SAMPLE_PER_LANGUAGE, SAMPLE // max(1, languages)))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("_id"), "_id")
-    chosen = (
-        known.select("lang", "_id")
-        .withColumn("_nth", F.row_number().over(order))
-        .filter(F.col("_nth") <= per_language)
-        .select("_id", "lang")
-        .distinct()
-    )
-    sample = known.join(F.broadcast(chosen), ["_id", "lang"]).select("lang", "text")
+    sample = sampled(known)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", SLICE):
-            found = np.minimum(counts(batch.column("text")), 65535).astype(np.uint16)
-            packed = pa.array([x.tobytes() for x in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), packed], names=["lang", "counts"])
-
-    rows = map_batches(sample, work, "lang string, counts binary").toArrow().to_pylist()
-    by_language: dict[str, list[bytes]] = {}
-    for row in rows:
-        by_language.setdefault(row["lang"], []).append(row["counts"])
-    centroids, names, least = [np.zeros((0, DIMS), np.float32)], [], []
-    for name in sorted(by_language):
-        packed = sorted(by_language[name])
-        x = vectors(np.stack([np.frombuffer(b, np.uint16) for b in packed]), idf)
+    def work(group: pa.Table) -> pa.Table:
+        column = group.column("text").combine_chunks()
+        # One text at a time: texts of a sample may be long.
+        found = np.concatenate([counts(column.slice(i, 1)) for i in range(len(column))]).astype(np.uint32)
+        x = vectors(found[sorted(range(len(found)), key=lambda i: found[i].tobytes())], idf)
         x = x[np.einsum("ij,ij->i", x, x) > 0]
-        if len(x):
-            own = clustered(x)
-            centroids.append(own)
-            names += [name] * len(own)
-            least += floors(x, own)
-    return Model(idf, np.concatenate(centroids), names, np.array(least))
+        own = clustered(x) if len(x) else x
+        return pa.table(
+            {
+                "lang": pa.array([group.column("lang")[0].as_py()] * len(own), pa.string()),
+                "nth": pa.array(np.arange(len(own)), pa.int64()),
+                "centroid": pa.array([c.astype(np.float32).tobytes() for c in own], pa.binary()),
+                "least": pa.array(floors(x, own) if len(x) else [], pa.float64()),
+            }
+        )
+
+    made = sample.groupBy("lang").applyInArrow(work, "lang string, nth long, centroid binary, least double").collect()
+    # At most one centroid per sampled text.
+    made.sort(key=lambda r: (r["lang"], r["nth"]))
+    centroids = [np.frombuffer(r["centroid"], np.float32)[None] for r in made]
+    return Model(
+        idf,
+        np.concatenate([np.zeros((0, DIMS), np.float32), *centroids]),
+        [r["lang"] for r in made],
+        np.array([r["least"] for r in made]),
+    )
 
 
 def identify(

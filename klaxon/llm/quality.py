@@ -2,12 +2,14 @@
 
 Words are runs of letters and digits or runs of other signs, A-Z folded.  Single words and
 pairs are hashed to 2^20 slots (a word and its repeat share one); a text's vector has each n-gram's count over the square root
-of the number of n-grams.  Weights come from a bounded sample of labelled rows (SAMPLE); every
-text is scored whole as one sparse dot product.
-
-Nulls and empty texts have no n-gram, their score is that of the bias.  Labels that are null or
-have no document are not used; of several labels of an id the largest is.  Without any label
-every score is 0.5.  Repeated rows are scored each.
+of the number of n-grams.  Weights come from a bounded sample of labelled rows (SAMPLE, texts of at
+most FIT_CHARS); every text, however long, is scored whole as one sparse dot product.
+
+Nulls and empty texts have no n-gram, their score is that of the bias.  Labels that are null, or
+have no document that may be learned from, are not used; of several labels of an id the largest
+is, of several texts the least by hash.  Without any label every score is 0.5, and an empty table
+gives an empty result.  Repeated rows are scored each.  An input column named as the score is
+replaced by it.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ from klaxon.llm.words import MARKED, U, hashes, mix, row_sums, shingles, spans
 SLOT_BITS = 20
 # A word followed by itself is one and the same pair, whatever the word.
 REPEAT = U(0x9E3779B97F4A7C15)
-# Labelled rows that are learned from at most.
-SAMPLE = 8192
+# Labelled rows that are learned from at most, and the longest text of them.
+SAMPLE, FIT_CHARS = 8192, 30_000
 EPOCHS = 2
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.002, 1.0
 
@@ -72,28 +74,26 @@ def sparse(found: np.ndarray, bias: int) -> tuple[np.ndarray, np.ndarray]:
     return np.append(at, bias), np.append(count / max(1, len(found)) ** 0.5, 1.0)
 
 
-def fit(sample: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Weights by slot, the bias last, from rows with _id, _label and a text (a bounded sample)."""
+def fit(sample: DataFrame) -> np.ndarray:
+    """Weights by slot, the bias last, from _id, _label, _text (a bounded sample), learned in one task."""
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            found, per_row = slots(batch.column("text"))
-            parts = np.split(found, np.cumsum(per_row)[:-1])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("_id"), batch.column("_label"), pa.array([x.tobytes() for x in parts], pa.binary())],
-                names=["_id", "_label", "slots"],
-            )
+    def work(group: pa.Table) -> pa.Table:
+        found, per_row = slots(group.column("_text").combine_chunks())
+        parts = np.split(found, np.cumsum(per_row)[:-1])
+        rows = zip(group.column("_id").to_pylist(), group.column("_label").to_pylist(), parts)
+        known = sorted(rows, key=lambda r: r[0] * 0x9E3779B97F4A7C15 % 2**64)
+        model = Ftrl(1 << SLOT_BITS)
+        for _ in range(EPOCHS):
+            for _, label, found in known:
+                at, x = sparse(found, 1 << SLOT_BITS)
+                model.learn(at, x, label)
+        return pa.table({"weights": pa.array([model.weights().astype(np.float32).tobytes()], pa.binary())})
 
-    rows = sample.select(F.col("_id").cast("long"), "_label", F.col(text_col).alias("text"))
-    schema = "_id long, _label int, slots binary"
-    known = map_batches(rows, features, schema).toArrow().to_pylist()
-    known.sort(key=lambda r: (r["_id"] * 0x9E3779B97F4A7C15 % 2**64, r["slots"]))
-    model = Ftrl(1 << SLOT_BITS)
-    for _ in range(EPOCHS):
-        for row in known:
-            at, x = sparse(np.frombuffer(row["slots"], np.int32), 1 << SLOT_BITS)
-            model.learn(at, x, row["_label"])
-    return model.weights().astype(np.float32)
+    rows = sample.select(F.col("_id").cast("long"), F.col("_label").cast("long"), "_text", F.lit(0).alias("_all"))
+    learned = rows.groupBy("_all").applyInArrow(work, "weights binary").collect()
+    if not learned:
+        return np.zeros((1 << SLOT_BITS) + 1, np.float32)
+    return np.frombuffer(learned[0]["weights"], np.float32)
 
 
 def score(df: DataFrame, weights: np.ndarray, text_col: str = "text", into: str = "score") -> DataFrame:
@@ -114,5 +114,4 @@ def classify(
     df: DataFrame, labels: DataFrame, use: Column, label_col: str = "quality", id_col: str = "doc_id"
 ) -> DataFrame:
     """Fit on the rows that `use` allows, then `df` with score."""
-    sample = labelled_sample(df.select(id_col, "text"), labels, label_col, use, SAMPLE, id_col)
-    return score(df, fit(sample))
+    return score(df, fit(labelled_sample(df, labels, label_col, use, {None: SAMPLE}, FIT_CHARS, id_col)))

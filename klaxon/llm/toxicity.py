@@ -6,13 +6,18 @@ STRIDE apart and so overlapping, cover the whole text, each passage of up to STR
 pools their states, and a text has the score of its worst window.
 
 The network is fitted on a bounded sample of labelled rows (SAMPLE and CLEAN_SAMPLE, texts
-of at most FIT_CHARS), in rounds: the window of each toxic text that the network finds worst is
-shown as toxic, the worst and a random window of each other text as not.  One coordinate of
-each embedding starts from the log-odds of its texts' labels in the sample.
-
-Nulls, empty texts and texts without a word have no window: their score is 0.  Labels that are
-null or have no document are not used; without both labels every score is 0.  Repeated rows are
-scored each.
+of at most FIT_CHARS, one text per id), in rounds: first random windows with the label of their
+text, then the window of each toxic text that the network finds worst as toxic, the worst and a
+random window of each other text as not.  All parameters start at random; a part of the words
+and n-grams is hidden from each step.  One text in ASIDE is not learned from: the last bias is
+set where the scores of those texts part best.
+
+Nulls, empty texts and texts without a word have no window: their score is 0.  Very long texts
+are scored whole, window by window.  Labels that are null, or have no document that may be
+learned from, are not used; without both labels every score is 0, and an empty table gives an
+empty result.  Repeated rows are scored each; of several texts of a labelled id the least by
+hash is learned from, of several labels the largest.  An input column named as the score is
+replaced by it.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from klaxon.llm.common import appended, bytes_of, map_batches, slices, with_columns
-from klaxon.llm.labelled import one_label
+from klaxon.llm.labelled import labelled_sample
 from klaxon.llm.words import MARKED, U, hashes, mix, spans, within
 
 WINDOW, STRIDE = 32, 16
@@ -34,7 +39,9 @@ TABLE_BITS, DIM, HIDDEN, ATTENTION = 15, 8, 8, 8
 GRAM, LEAD = 4, 5
 # Labelled rows with label 1 and 0 that are learned from at most, and the longest text of them.
 SAMPLE, CLEAN_SAMPLE, FIT_CHARS = 2000, 3000, 30_000
-ROUNDS, BATCH, RATE = 8, 256, 0.05
+# Rounds on random windows and on worst ones; steps at least, for small samples; share of inputs hidden.
+EARLY, ROUNDS, STEPS, BATCH, RATE, HIDE = 3, 6, 400, 256, 0.05, 0.3
+ASIDE = 8
 CHUNK = 1024
 
 
@@ -104,7 +111,7 @@ class Network:
             self.p["W" + side] = small(2 * DIM, 3 * HIDDEN)
             self.p["U" + side] = small(HIDDEN, 3 * HIDDEN)
             self.p["b" + side] = np.zeros(3 * HIDDEN, np.float32)
-        self.sums = {k: np.full(v.shape, 1e-4, np.float32) for k, v in self.p.items()}
+        self.sums = {k: np.full(v.shape, 1e-8, np.float32) for k, v in self.p.items()}
 
     def inputs(self, words: Words) -> np.ndarray:
         """One row per distinct word."""
@@ -194,11 +201,16 @@ class Network:
             logits[mine] = self.forward(x, *steps_of(words, first[mine], length[mine]))
         return logits, first, row
 
-    def scores(self, column: pa.Array) -> np.ndarray:
-        """Probability of the worst window of each text."""
+    def text_logits(self, column: pa.Array) -> np.ndarray:
+        """Logit of the worst window of each text; -inf without a window."""
         logits, _, row = self.worst(Words(column))
         best = np.full(len(column), -np.inf)
         np.maximum.at(best, row, logits)
+        return best
+
+    def scores(self, column: pa.Array) -> np.ndarray:
+        """Probability of the worst window of each text."""
+        best = self.text_logits(column)
         return np.where(np.isfinite(best), 1 / (1 + np.exp(-np.clip(best, -30, 30))), 0.0)
 
 
@@ -210,73 +222,91 @@ def steps_of(words: Words, first: np.ndarray, length: np.ndarray) -> tuple[np.nd
     return words.sequence[at], mask.astype(np.float32)
 
 
-def log_odds(words: Words, at: np.ndarray, owner: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """By table slot: smoothed log-odds of the labels of the texts that it occurs in."""
-    size = 1 << TABLE_BITS
-    number = np.bincount(owner, minlength=len(words.word))
-    begin = np.cumsum(number) - number
-    ends = np.concatenate([[0], np.cumsum(words.per_row)])
-    toxic, clean = np.zeros(size), np.zeros(size)
-    for i, label in enumerate(labels.tolist()):
-        word = np.unique(words.sequence[ends[i] : ends[i + 1]])
-        seen = np.unique(at[np.repeat(begin[word], number[word]) + within(number[word])])
-        (toxic if label else clean)[seen] += 1
-    toxic /= max(1, (labels == 1).sum())
-    clean /= max(1, (labels == 0).sum())
-    prior = 3 / max(1, len(labels))
-    return np.log((toxic + prior) / (clean + prior)).astype(np.float32)
+def one_each(order: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The last window of each text in an order by text."""
+    return order[np.append(row[order][1:] != row[order][:-1], True)]
 
 
-def fit(texts: list[str], labels: np.ndarray) -> Network | None:
-    """A network from labelled texts, or None without both labels."""
-    if len(set(labels.tolist())) < 2:
-        return None
-    net, words = Network(), Words(pa.array(texts, pa.large_string()))
-    each = np.arange(len(words.word))
-    net.p["word"][:, 0] = log_odds(words, words.word, each, labels)
-    net.p["gram"][:, 0] = log_odds(words, words.grams, np.repeat(each, words.number), labels)
+def learn(net: Network, words: Words, labels: np.ndarray) -> None:
+    """Train on the windows of labelled texts."""
     rng = np.random.default_rng(11)
     first, length, row = words.windows()
-    # Until there is a network, the worst window is the one of the largest log-odds.
-    x = net.inputs(words)
-    value = np.maximum(x[:, 0], 0) + np.maximum(x[:, DIM], 0)
-    sums = np.concatenate([[0], np.cumsum(value[words.sequence])])
-    logits = sums[first + length] - sums[first]
+    if not len(first):
+        return
     gram_first = np.cumsum(words.number) - words.number
-    for turn in range(ROUNDS):
-        if turn and turn % 2 == 0:
-            logits, _, _ = net.worst(words)
-        order = np.lexsort((logits, row))
-        top = order[np.append(row[order][1:] != row[order][:-1], True)]
+    # A small sample takes smaller batches and more rounds.
+    batch = max(16, min(BATCH, len(labels) // 8))
+    more = max(1, -(-STEPS * batch // (2 * len(labels) * (EARLY + ROUNDS))))
+    early, rounds = EARLY * more, (EARLY + ROUNDS) * more
+    logits = np.zeros(len(first), np.float32)
+    for turn in range(rounds):
         # For a random window of each text: the largest of random keys.
-        order = np.lexsort((rng.random(len(row)), row))
-        some = order[np.append(row[order][1:] != row[order][:-1], True)]
-        chosen = np.concatenate([top, some[labels[row[some]] == 0]])
+        some = one_each(np.lexsort((rng.random(len(row)), row)), row)
+        if turn < early:
+            chosen = np.concatenate([some, one_each(np.lexsort((rng.random(len(row)), row)), row)])
+        else:
+            if (turn - early) % 2 == 0:
+                logits, _, _ = net.worst(words)
+            chosen = np.concatenate([one_each(np.lexsort((logits, row)), row), some[labels[row[some]] == 0]])
         target = labels[row[chosen]].astype(np.float32)
         deal = rng.permutation(len(chosen))
-        for at in range(0, len(deal), BATCH):
-            mine = chosen[deal[at : at + BATCH]]
+        for at in range(0, len(deal), batch):
+            mine = chosen[deal[at : at + batch]]
             index, mask = steps_of(words, first[mine], length[mine])
             used, local = np.unique(index, return_inverse=True)
             local = local.reshape(index.shape)
             number = words.number[used]
             grams = words.grams[np.repeat(gram_first[used], number) + within(number)]
             starts = np.cumsum(number) - number
-            mean = np.add.reduceat(net.p["gram"][grams], starts, axis=0) / number[:, None]
-            x = np.concatenate([net.p["word"][words.word[used]], mean.astype(np.float32)], axis=1)
+            seen_word = (rng.random((len(used), 1)) >= HIDE).astype(np.float32)
+            seen_gram = (rng.random((len(grams), 1)) >= HIDE).astype(np.float32)
+            mean = np.add.reduceat(net.p["gram"][grams] * seen_gram, starts, axis=0) / number[:, None]
+            x = np.concatenate([net.p["word"][words.word[used]] * seen_word, mean.astype(np.float32)], axis=1)
             logit, kept = net.forward(x, local, mask, keep=True)
-            error = ((sigmoid(logit) - target[deal[at : at + BATCH]]) / len(mine)).astype(np.float32)
+            error = ((sigmoid(logit) - target[deal[at : at + batch]]) / len(mine)).astype(np.float32)
             grad, d_x = net.backward(x, local, error, kept)
             for name, g in grad.items():
                 net.adapt(name, g)
             slots, place = np.unique(words.word[used], return_inverse=True)
             total = np.zeros((len(slots), DIM), np.float32)
-            np.add.at(total, place, d_x[:, :DIM])
+            np.add.at(total, place, d_x[:, :DIM] * seen_word)
             net.adapt("word", total, slots)
             slots, place = np.unique(grams, return_inverse=True)
             total = np.zeros((len(slots), DIM), np.float32)
-            np.add.at(total, place, np.repeat(d_x[:, DIM:] / number[:, None], number, axis=0))
+            np.add.at(total, place, np.repeat(d_x[:, DIM:] / number[:, None], number, axis=0) * seen_gram)
             net.adapt("gram", total, slots)
+
+
+def parting(scores: np.ndarray, labels: np.ndarray) -> float:
+    """The logit that parts the labels with the fewest errors, in the middle of its gap; -inf if it can't."""
+    order = np.argsort(scores, kind="stable")
+    ordered, toxic = scores[order], labels[order] == 1
+    # Errors if the first k texts are called clean.
+    errors = np.concatenate([[0], np.cumsum(toxic)]) + np.concatenate([np.cumsum(~toxic[::-1])[::-1], [0]])
+    gaps = np.flatnonzero(ordered[1:] > ordered[:-1]) + 1
+    if not len(gaps) or len(set(toxic.tolist())) < 2:
+        return -np.inf
+    # Of equally good gaps the widest.
+    good = gaps[errors[gaps] == errors[gaps].min()]
+    k = good[np.argmax(ordered[good] - ordered[good - 1])]
+    return float(ordered[k - 1] + ordered[k]) / 2
+
+
+def fit(texts: list[str], labels: np.ndarray) -> Network | None:
+    """A network from labelled texts, or None without both labels."""
+    if len(set(labels.tolist())) < 2:
+        return None
+    net = Network()
+    aside = np.arange(len(texts)) % ASIDE == ASIDE - 1
+    if len(set(labels[~aside].tolist())) < 2:
+        aside[:] = False
+    learn(net, Words(pa.array([t for t, a in zip(texts, aside) if not a], pa.large_string())), labels[~aside])
+    if aside.any():
+        logits = net.text_logits(pa.array([t for t, a in zip(texts, aside) if a], pa.large_string()))
+        known = np.isfinite(logits)
+        middle = parting(logits[known], labels[aside][known])
+        if np.isfinite(middle):
+            net.p["c"] -= np.float32(middle)
     return net
 
 
@@ -284,15 +314,8 @@ def labelled_texts(
     documents: DataFrame, labels: DataFrame, label_col: str, use: Column, id_col: str, text_col: str
 ) -> DataFrame:
     """_id, _text, _label of at most SAMPLE toxic and CLEAN_SAMPLE other texts, the smallest ids by hash."""
-    known = one_label(labels.filter(use), id_col, label_col)
-    order = (F.xxhash64("_id"), F.col("_id"))
-    chosen = known.filter("_label = 1").orderBy(*order).limit(SAMPLE)
-    chosen = chosen.union(known.filter("_label = 0").orderBy(*order).limit(CLEAN_SAMPLE))
-    return (
-        documents.filter(F.length(text_col) <= FIT_CHARS)
-        .join(F.broadcast(chosen), F.col(id_col) == F.col("_id"))
-        .select(F.col("_id").cast("long"), F.col(text_col).alias("_text"), "_label")
-    )
+    bounds = {1: SAMPLE, 0: CLEAN_SAMPLE}
+    return labelled_sample(documents, labels, label_col, use, bounds, FIT_CHARS, id_col, text_col)
 
 
 def fitted(sample: DataFrame) -> Network | None:
