@@ -6,8 +6,9 @@ on all that the one before it kept; `run` writes each stage's rows below the sha
 reads them again.
 
 Nulls: rows without a text pass the toxicity stage (score 0) and leave at the language stage,
-like texts without a letter; null ids are kept as rows like others.  An empty table gives an
-empty result.
+like texts without a letter; null ids are kept as rows like others.  Extra columns are kept,
+whatever their names.  Of equal texts and ids one row stays; repeated rows are filtered each before
+that.  Very long texts are judged whole and packed in pieces.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,16 +26,26 @@ TOXIC = 0.5
 ORACLE_SQL = None
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """`name` with as many underscores before it as make no column of `docs` start with it."""
+    taken = [c.lower() for c in docs.columns]
+    while any(c.startswith(name) for c in taken):
+        name = "_" + name
+    return name
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that the network doesn't find toxic; it learns from the labels outside the held-out fold."""
-    scored = toxicity.classify(docs, table(spark, sf_dir, "labels"), use=fold() != 0, into="_toxicity")
-    return scored.filter(F.col("_toxicity") < TOXIC).select(docs.columns)
+    into = unused(docs, "_toxicity")
+    scored = toxicity.classify(docs, table(spark, sf_dir, "labels"), use=fold() != 0, into=into)
+    return scored.filter(F.col(into) < TOXIC).select(docs.columns)
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with a letter that are near to a centroid of their language."""
-    judged = langid.identify(docs, use=fold() != 0, prefix="_")
-    return judged.filter(~F.col("_rejected")).select(docs.columns)
+    prefix = unused(docs, "_judged_")
+    judged = langid.identify(docs, use=fold() != 0, prefix=prefix)
+    return judged.filter(~F.col(prefix + "rejected")).select(docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
