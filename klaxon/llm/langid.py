@@ -148,19 +148,26 @@ class Model:
 def sampled(known: DataFrame) -> DataFrame:
     """lang, text of at most SAMPLE rows: the smallest ids by hash of each language.
 
-    A bound on the hash, from the language's count, leaves about twice the wanted rows to be ranked;
-    rows of one id (or of none) share a hash, tasks keep no more of them than are wanted.  Of more
-    than SAMPLE languages the most frequent are sampled.
+    Rows by language and 1/4096 of the hashes are counted first; from these counts each language gets
+    the least bound that leaves enough rows to be ranked.  Rows of one id (or of none) share a hash;
+    tasks keep no more of them than are wanted.  Of more than SAMPLE languages the most frequent are
+    sampled.
     """
-    sizes = known.groupBy("lang").agg(F.count("*").alias("_rows"))
-    kept = sizes.orderBy(F.desc("_rows"), "lang").limit(SAMPLE)
-    languages = kept.count()
-    each = max(1, min(SAMPLE_PER_LANGUAGE, SAMPLE // max(1, languages)))
-    share = F.lit(2.0 * each + 50) / F.col("_rows")
-    bound = F.when(share >= 1, F.lit(2**63 - 1)).otherwise(((share - 0.5) * 2.0**64).cast("long"))
-    near = known.join(F.broadcast(kept.select("lang", bound.alias("_bound"))), "lang").filter(
-        F.xxhash64("_id") <= F.col("_bound")
+    part = F.shiftright(F.xxhash64("_id"), 52)
+    parts = known.groupBy("lang", part.alias("_part")).agg(F.count("*").alias("_rows"))
+    kept = parts.groupBy("lang").agg(F.sum("_rows").alias("_rows")).orderBy(F.desc("_rows"), "lang").limit(SAMPLE)
+    each = max(1, min(SAMPLE_PER_LANGUAGE, SAMPLE // max(1, kept.count())))
+    # At most 4096 rows a language.
+    smaller = Window.partitionBy("lang").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bounds = (
+        parts.withColumn("_before", F.coalesce(F.sum("_rows").over(smaller), F.lit(0)))
+        .filter(F.col("_before") < each)
+        .groupBy("lang")
+        .agg(F.max("_part").alias("_bound"))
+        .join(kept.select("lang"), "lang")
     )
+    # At most SAMPLE rows.
+    near = known.join(F.broadcast(bounds), "lang").filter(part <= F.col("_bound"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("_id"), "_id", F.xxhash64("text"))
     return near.withColumn("_nth", F.row_number().over(order)).filter(F.col("_nth") <= each).select("lang", "text")
 
