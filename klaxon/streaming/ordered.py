@@ -28,6 +28,8 @@ from klaxon.streaming.processors import first_per_instant
 from klaxon.streaming.stateful import DELAY_MS
 
 SLOT_MS = 60_000
+# Poll numbers per entry of state where polls wait.
+POLLS_PER_BLOCK = 128
 
 
 def pack(frame: pd.DataFrame) -> bytes:
@@ -180,7 +182,8 @@ class ChangedPolls(StatefulProcessor):
     """Polls of one feed in the order of their numbers; drops one whose version is the last known.
 
     A poll goes on at once if it is the successor of the last one.  Else it waits: for its
-    predecessor, or until the watermark has passed it.
+    predecessor, or until the watermark has passed it.  Those that wait lie in state as blocks of
+    POLLS_PER_BLOCK numbers; one that goes on at once is never written there.
     """
 
     def __init__(self, seq: str, version: str, columns: list[str]):
@@ -189,7 +192,9 @@ class ChangedPolls(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last", "seq long, version string")
-        self.waiting = handle.getMapState("waiting", "seq long", "at_ms long, polls binary")
+        # Numbers and times apart from the polls: what goes on is found without reading those.
+        self.places = handle.getMapState("places", "block long", "seqs binary, at_ms binary")
+        self.polls = handle.getMapState("polls", "block long", "polls binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows), ignore_index=True)
@@ -197,44 +202,95 @@ class ChangedPolls(StatefulProcessor):
         late = frame[self.seq] <= done if done is not None else pd.Series(False, frame.index)
         if late.any():
             yield frame[late].assign(late=True)[self.columns]
-        for seq, part in frame[~late].groupby(self.seq):
-            at = int(part["at_ms"].max())
-            if self.waiting.containsKey((int(seq),)):
-                before, held = self.waiting.getValue((int(seq),))
-                part, at = pd.concat([unpack([held]), part], ignore_index=True), max(at, before)
-            self.waiting.updateValue((int(seq),), (at, pack(part)))
-        yield from self.released(timerValues.getCurrentWatermarkInMs())
-        for (_,), (at, _) in self.waiting.iterator():
-            self.handle.registerTimer(max(at, timerValues.getCurrentWatermarkInMs()) + 1)
+        yield from self.released(frame[~late], timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self.released(timerValues.getCurrentWatermarkInMs())
-
-    def released(self, now: int) -> Iterator[pd.DataFrame]:
-        held = {seq: at for (seq,), (at, _) in self.waiting.iterator()}
-        # All up to the newest poll that the watermark has passed go on, gaps or not.
-        passed = max((seq for seq, at in held.items() if at < now), default=None)
+        yield from self.released(None, timerValues.getCurrentWatermarkInMs())
+
+    def released(self, fresh: pd.DataFrame | None, now: int) -> Iterator[pd.DataFrame]:
+        held = {int(b): [np.frombuffer(v, np.int64) for v in value] for (b,), value in self.places.iterator()}
+        parts = {}
+        if fresh is not None and len(fresh):
+            parts = {int(b): part for b, part in fresh.groupby(fresh[self.seq] // POLLS_PER_BLOCK)}
+            seqs, at = fresh[self.seq].to_numpy(np.int64), fresh["at_ms"].to_numpy(np.int64)
+        else:
+            seqs = at = np.empty(0, np.int64)
+        seqs = np.concatenate([*(h[0] for h in held.values()), seqs])
+        at = np.concatenate([*(h[1] for h in held.values()), at])
+        if not len(seqs):
+            return
         last, known = self.last.get() if self.last.exists() else (None, None)
-        before = last
-        for seq in sorted(held):
-            if not (last is not None and seq == last + 1) and (passed is None or seq > passed):
-                break
-            polls = unpack([self.waiting.getValue((seq,))[1]])
-            self.waiting.removeKey((seq,))
-            version = polls[self.version]
-            blank = version.isna() | (version.fillna("").str.strip() == "")
-            kept = polls if known is None else polls[blank | (version != known)]
-            if len(kept):
-                yield kept.assign(late=False)[self.columns]
-            known = version[~blank].max() if (~blank).any() else known
-            last = seq
-        if last != before:
-            self.last.update((last, known))
+        seqs, at = newest(seqs, at)
+        many = going_on(seqs, at, last, now)
+        upto = int(seqs[many - 1]) if many else None
+        for block in sorted({*held, *parts}):
+            part = parts.get(block)
+            if block in held:
+                if part is None and (upto is None or held[block][0][0] > upto):
+                    continue
+                before = unpack([self.polls.getValue((block,))[0]])
+                part = before if part is None else pd.concat([before, part], ignore_index=True)
+            goes = part[self.seq] <= upto if upto is not None else pd.Series(False, part.index)
+            self.hold(block, part[~goes], block in held)
+            if goes.any():
+                kept, known = changed(part[goes], self.seq, self.version, known)
+                if len(kept):
+                    yield kept.assign(late=False)[self.columns]
+        if many:
+            self.last.update((upto, known))
+        if many < len(seqs):
+            # The next poll that the watermark passes takes all before it along and sets the next timer.
+            self.handle.registerTimer(max(int(at[many:].min()), now) + 1)
+
+    def hold(self, block: int, part: pd.DataFrame, was_there: bool) -> None:
+        if len(part):
+            seqs, at = newest(part[self.seq].to_numpy(np.int64), part["at_ms"].to_numpy(np.int64))
+            self.places.updateValue((block,), (seqs.tobytes(), at.tobytes()))
+            self.polls.updateValue((block,), (pack(part),))
+        elif was_there:
+            self.places.removeKey((block,))
+            self.polls.removeKey((block,))
 
     def close(self) -> None:
         pass
 
 
+def newest(seqs: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers in order, each with its greatest time."""
+    order = np.lexsort((at, seqs))
+    seqs, at = seqs[order], at[order]
+    final = np.append(seqs[1:] != seqs[:-1], True)
+    return seqs[final], at[final]
+
+
+def going_on(seqs: np.ndarray, at: np.ndarray, last: int | None, now: int) -> int:
+    """How many of the waiting polls go on: all up to the newest that the watermark has passed, gaps
+    or not, and from there (or from the last one) on as long as the numbers are consecutive."""
+    passed = np.flatnonzero(at < now)
+    many = int(passed[-1]) + 1 if len(passed) else 0
+    before = int(seqs[many - 1]) if many else last
+    if before is None:
+        return many
+    gaps = np.flatnonzero(np.diff(np.concatenate([[before], seqs[many:]])) != 1)
+    return many + (int(gaps[0]) if len(gaps) else len(seqs) - many)
+
+
+def changed(polls: pd.DataFrame, seq: str, version: str, known: str | None) -> tuple[pd.DataFrame, str | None]:
+    """(polls that are blank or unlike the last known version before their number, the last known version)."""
+    polls = polls.sort_values(seq, kind="stable")
+    given = polls[version].astype(object)
+    blank = given.isna() | (given.fillna("").str.strip() == "")
+    # What each number leaves known, its largest version, null where all are blank; before the first there is `known`.
+    marked = pd.DataFrame({"seq": polls[seq], "version": given.where(~blank, "")})
+    left = marked.sort_values(["seq", "version"]).drop_duplicates("seq", keep="last").set_index("seq")["version"]
+    left = left.where(left != "", None)
+    after = pd.Series([known, *left], dtype=object).ffill()
+    before = pd.Series(after.to_numpy()[:-1], index=left.index).reindex(polls[seq]).to_numpy()
+    kept = blank.to_numpy() | pd.isna(before) | (given.to_numpy() != before)
+    end = after.iloc[-1]
+    return polls[kept], None if pd.isna(end) else end
+
+
 def changed_snapshots_stream(
     polls: DataFrame,
     time: str,
