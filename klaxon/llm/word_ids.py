@@ -25,6 +25,8 @@ from klaxon.llm.common import bytes_of
 TABLE_BYTES = 24 << 20
 # Longer words are encoded where they stand and not kept.
 LONG_WORD = 256
+# The tokenizer's answers take about a kilobyte a word: it is asked for so many at once.
+ASKED_WORDS = 4096
 
 LETTER = np.zeros(256, bool)
 LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -112,9 +114,13 @@ class WordTable:
 
     def asked(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids one after the other, how many of each word) straight from the tokenizer."""
-        found = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter(chain.from_iterable(found), "<u4", int(counts.sum())), counts
+        parts, counts = [np.zeros(0, "<u4")], []
+        for at in range(0, len(words), ASKED_WORDS):
+            texts = [w.decode() for w in words[at : at + ASKED_WORDS]]
+            found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            counts += map(len, found)
+            parts.append(np.fromiter(chain.from_iterable(found), "<u4"))
+        return np.concatenate(parts), np.array(counts, np.int64)
 
     def add(self, words: pa.Array, ids: np.ndarray, counts: np.ndarray) -> None:
         self.words = pa.concat_arrays([self.words, words])
