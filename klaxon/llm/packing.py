@@ -30,12 +30,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from klaxon.llm.common import map_batches, slices, stored
+from klaxon.llm.common import map_batches, release, slices, stored
 from klaxon.llm.word_ids import word_table
 
 CAPACITY = 2048
 RANK_GROUP = 1000
-TEXT_SLICE = 4 << 20
+TEXT_SLICE = 1 << 20
 # The linear program: rounds at most, configurations used from one round and how near to the
 # best one they must come.
 ROUNDS = 300
@@ -87,10 +87,14 @@ def pieces_of(
                     for column, value in zip(rows, values):
                         column.append(value)
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names=schema.names)
+            made = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names=schema.names)
+            # What a slice took would stay with the worker, beside the heap of the executor.
+            del batch, ids, ends, rows
+            release()
+            yield made
 
     held = df.select(F.col(id_col).cast("long").alias("_doc"), F.col(text_col).alias("_text"))
-    return held.mapInArrow(work, schema)
+    return map_batches(held, work, schema)
 
 
 # -- the plan, from the counts alone ---------------------------------------------------------
